@@ -63,3 +63,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Rows of a slim table (a few numbers each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows; for materialized tables."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df
