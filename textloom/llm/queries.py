@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import containers, eval_leaks, format_duplicates, near_duplicates, term_counts
+from . import containers, eval_leaks, format_duplicates, near_duplicates, similar_vectors, term_counts
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similar_vectors.near_pairs(load(spark, sf_dir, "doc_embeddings"), "emb_id", "embedding")
+    return pairs.select(F.col("id_a").alias("emb_id_a"), F.col("id_b").alias("emb_id_b"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
