@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import containers, eval_leaks, format_duplicates, near_duplicates, similar_vectors, term_counts
+from . import containers, eval_leaks, format_duplicates, near_duplicates, similar_vectors, similarity_groups, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("emb_id_a"), F.col("id_b").alias("emb_id_b"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similarity_groups.group_rows(load(spark, sf_dir, "relation_names"), "relation_id", "triple_type", "embedding")
+    return rows.withColumnRenamed("id", "relation_id")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_groups.describe(load(spark, sf_dir, "relation_names"), "relation_id", "triple_type", "embedding", "sentence")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(load(spark, sf_dir, "converted_docs"), "record_id", F.concat_ws(" ", "content"))
     return pairs.select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
