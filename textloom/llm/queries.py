@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import containers, eval_leaks, format_duplicates, near_duplicates, similar_vectors, similarity_groups, term_counts
+from . import containers, eval_leaks, format_duplicates, mail_bodies, near_duplicates, similar_vectors, similarity_groups, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("emb_id_a"), F.col("id_b").alias("emb_id_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail_bodies.new_lines(load(spark, sf_dir, "mail_docs")).select(F.col("mail").alias("mail_id"), "line_no")
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail_bodies.new_bodies(load(spark, sf_dir, "mail_docs")).withColumnRenamed("mail", "mail_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = similarity_groups.group_rows(load(spark, sf_dir, "relation_names"), "relation_id", "triple_type", "embedding")
     return rows.withColumnRenamed("id", "relation_id")
