@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import containers, eval_leaks, format_duplicates, mail_bodies, near_duplicates, similar_vectors, similarity_groups, term_counts
+from . import containers, eval_leaks, format_duplicates, mail_bodies, near_duplicates, personal_data, similar_vectors, similarity_groups, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,16 @@ def p5_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_counts.frequencies(load(spark, sf_dir, "tagged_docs"), load(spark, sf_dir, "relation_names"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(load(spark, sf_dir, "converted_docs"), "record_id", *personal_data.record_texts())
+    return found.select(F.col("id").alias("record_id"), "place", "kind", "found").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = personal_data.redact(load(spark, sf_dir, "converted_docs"), "record_id", *personal_data.record_texts())
+    return texts.select(F.col("id").alias("record_id"), F.array_join("content", "\n").alias("content"), F.array_join("kg_content", " | ").alias("kg_content"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates.kg_duplicates(load(spark, sf_dir, "kg_lines"))
 
