@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import load
-from . import containers, eval_leaks, format_duplicates, mail_bodies, near_duplicates, personal_data, similar_vectors, similarity_groups, term_counts
+from . import containers, eval_leaks, format_duplicates, mail_bodies, near_duplicates, personal_data, similar_vectors, similarity_groups, subject_areas, term_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,17 @@ def p9_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eval_leaks.clean(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_queries")).select("doc_id", "source")
 
 
+def _subject_model(spark: SparkSession, sf_dir: str) -> subject_areas.SubjectModel:
+    return subject_areas.fit_from(*(load(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas.classify(load(spark, sf_dir, "documents"), _subject_model(spark, sf_dir)).distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas.composition(load(spark, sf_dir, "documents"), _subject_model(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
