@@ -23,3 +23,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import knowledge_queries, retrieval_queries  # noqa: E402, F401
