@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,8 +157,6 @@ def _stem(word: str) -> str:
 
 def stemmer() -> Callable[[Column], Column]:
     """Vectorised stemming of an array of words."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def stem(tokens: pd.Series) -> pd.Series:
         known: dict[str, str] = {}

@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import knowledge_queries, retrieval_queries  # noqa: E402, F401
+from . import knowledge_queries, pipeline_queries, retrieval_queries, scoring_queries  # noqa: E402, F401

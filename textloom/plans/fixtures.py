@@ -1,0 +1,8 @@
+"""A small treebank for the query of dependency triples (invented sentences)."""
+
+TREEBANK = [
+    ("1", 1, "The", "the", "DET", 2, "det"), ("1", 2, "engineer", "engineer", "NOUN", 3, "nsubj"), ("1", 3, "checks", "check", "VERB", 0, "root"), ("1", 4, "a", "a", "DET", 5, "det"), ("1", 5, "line", "line", "NOUN", 3, "obj"),
+    ("2", 1, "A", "a", "DET", 2, "det"), ("2", 2, "nurse", "nurse", "NOUN", 3, "nsubj"), ("2", 3, "reads", "read", "VERB", 0, "root"), ("2", 4, "the", "the", "DET", 5, "det"), ("2", 5, "note", "note", "NOUN", 3, "obj"),
+    ("2", 6, "and", "and", "CCONJ", 7, "cc"), ("2", 7, "signs", "sign", "VERB", 3, "conj"), ("2", 8, "the", "the", "DET", 9, "det"), ("2", 9, "report", "report", "NOUN", 7, "obj"),
+    ("3", 1, "It", "it", "PRON", 2, "nsubj"), ("3", 2, "rains", "rain", "VERB", 0, "root"),
+]
