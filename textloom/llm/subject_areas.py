@@ -18,6 +18,7 @@ decide alone; documents sent twice are judged each; empty tables give nothing.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ BEAM = 6
 ROUNDS = 3
 #: Sum of weights from which a sentence is about an area.
 LEAST_SCORE = 1.5
-_WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’-]\p{L}+)*")
+_WORD = re.compile(r"[^\W_]+(?:['’-][^\W\d_]+)*")
 _FURNITURE = regex.compile(
     r"^\s*(?:(?:subject|x-[\w-]+|from|to|date|sent|cc|objet|betreff|von|an|de|à)\s?:.*|-{2,} ?.* ?-{2,}|\[.*\]|\(.*\)|page \d+.*|[^.!?]{1,40}(?: \| [^.!?|]{1,40})+|[-=_*~#|\s]+|contents\.?|https?://\S+)\s*$", regex.I
 )
@@ -43,6 +44,12 @@ _END = regex.compile(r"(?<=[.!?…]['\"”»)]?)\s+(?=[\p{Lu}\p{N}\"“«(])")
 _ABBREVIATED = regex.compile(r"(?:^|\s)(?:\p{Lu}|Mr|Mrs|Ms|Dr|Prof|No|no|Fig|vs|etc|bzw|z\.B)\.$")
 
 
+def _may_be_furniture(line: str) -> bool:
+    """Cheap test that every line of page furniture passes."""
+    start = line.lstrip()[:9].lower()
+    return not start or start[0] in "-[(=_*~#|" or ":" in line or "|" in line or start.startswith(("page ", "contents", "http"))
+
+
 def sentences(text: str | None, title: str | None = None) -> list[str]:
     """The sentences of a text without titles and page furniture; wrapped lines are joined."""
     if not text:
@@ -51,7 +58,7 @@ def sentences(text: str | None, title: str | None = None) -> list[str]:
     for block in regex.split(r"\n\s*\n", text.replace("\r", "")):
         pieces: list[str] = []
         for line in block.split("\n"):
-            if _FURNITURE.match(line):
+            if _may_be_furniture(line) and _FURNITURE.match(line):
                 pieces.append("\x00")
             elif _BULLET.match(line):
                 pieces.append("\x00" + _BULLET.sub("", line).strip())
@@ -111,50 +118,62 @@ class SubjectModel:
     sources: dict[str, int]
 
     def sentence_area(self, sentence: str) -> int:
-        score: dict[int, float] = defaultdict(float)
-        for t in terms(sentence):
-            hit = self.weights.get(t)
-            if hit:
-                score[hit[0]] += hit[1]
-        if not score:
+        w = [x.lower() for x in _WORD.findall(sentence)]
+        get, hits = self.weights.get, {}
+        for t in w:
+            if (hit := get(t)) is not None and not t.isdigit():
+                hits[t] = hit
+        for a, b in zip(w[:-1], w[1:], strict=True):
+            if (hit := get(t := f"{a} {b}")) is not None:
+                hits[t] = hit
+        if not hits:
             return -1
+        score: dict[int, float] = defaultdict(float)
+        for t in sorted(hits):
+            score[hits[t][0]] += hits[t][1]
         best = max(score, key=lambda k: (score[k], -k))
         return best if score[best] >= LEAST_SCORE else -1
 
-    def features(self, text: str | None, title: str | None, source: str | None) -> np.ndarray | None:
-        s = sentences(text, title)
-        if not s:
-            return None
+    def features(self, rows: list[tuple[str | None, str | None, str | None]]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the rows with a sentence, features) of rows (text, title, source)."""
         n = len(self.areas)
-        share = np.zeros(n)
-        for x in s:
-            a = self.sentence_area(x)
-            if a >= 0:
-                share[a] += 1 / len(s)
-        kind = np.zeros(SOURCES)
-        kind[self.sources.get((source or "").split("/")[0], SOURCES - 1)] = 0.3
+        split = [sentences(text, title) for text, title, _ in rows]
+        kept = [k for k, s in enumerate(split) if s]
+        share, kind, structure = np.zeros((len(kept), n)), np.zeros((len(kept), SOURCES)), np.zeros((len(kept), 3))
+        for i, k in enumerate(kept):
+            text, title, source = rows[k]
+            s = split[k]
+            for a in map(self.sentence_area, s):
+                if a >= 0:
+                    share[i, a] += 1 / len(s)
+            kind[i, self.sources.get((source or "").split("/")[0], SOURCES - 1)] = 0.3
+            structure[i] = np.log1p(len(s)) / 4, min(1.0, (text or "").count("\n") / (len(s) + 1)) / 2, float(bool(title)) / 4
         # steep around the share that decides, so that a link can place its threshold
         steep = np.clip((share - SHARE) * 8, -1, 1)
-        structure = np.array([np.log1p(len(s)) / 4, min(1.0, (text or "").count("\n") / (len(s) + 1)) / 2, float(bool(title)) / 4])
-        return np.r_[share, steep, (share >= SHARE - 1e-9) * 1.0, kind, structure]
+        return np.array(kept, np.int64), np.hstack([share, steep, (share >= SHARE - 1e-9) * 1.0, kind, structure])
 
-    def decode(self, x: np.ndarray) -> list[int]:
-        """The combination of labels of greatest probability that the beam keeps."""
-        beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """For each row the combination of labels (a boolean for each area) of greatest probability that the beam keeps."""
+        n = len(x)
+        logp, labels = np.zeros((n, 1)), np.zeros((n, 1, 0))
         for k, (a, w, (scale, shift)) in enumerate(zip(self.order, self.links, self.scales, strict=True)):
-            wider = []
-            for logp, before in beams:
-                z = float(np.r_[_own(x, a, len(self.areas)), before] @ w[:-1] + w[-1]) * scale + shift
-                p = float(np.clip(_sigmoid(np.array(z)), 1e-9, 1 - 1e-9))
-                wider += [(logp + np.log(p), (*before, 1)), (logp + np.log(1 - p), (*before, 0))]
-            beams = sorted(wider, key=lambda b: (-b[0], b[1]))[:BEAM]
-        return [a for a, y in zip(self.order, beams[0][1], strict=True) if y]
+            own = _own(x, a, len(self.areas))
+            z = (own @ w[: own.shape[1]])[:, None] + labels @ w[own.shape[1] : own.shape[1] + k] + w[-1]
+            p = np.clip(_sigmoid(z * scale + shift), 1e-9, 1 - 1e-9)
+            wider = np.concatenate([logp + np.log(p), logp + np.log(1 - p)], axis=1)
+            both = np.concatenate([np.concatenate([labels, np.full((*labels.shape[:2], 1), y)], axis=2) for y in (1.0, 0.0)], axis=1)
+            best = np.argsort(-wider, axis=1, kind="stable")[:, :BEAM]
+            logp, labels = np.take_along_axis(wider, best, 1), np.take_along_axis(both, best[:, :, None], 1)
+        out = np.zeros((n, len(self.areas)), bool)
+        if n:
+            out[:, self.order] = labels[:, 0] > 0
+        return out
 
 
 def _own(x: np.ndarray, area: int, n: int) -> np.ndarray:
     """Features of a link: its area's, the strongest other's, source and structure."""
-    other = np.delete(x[:n], area).max() if n > 1 else 0.0
-    return np.r_[x[area], x[n + area], x[2 * n + area], other, x[3 * n :]]
+    other = np.delete(x[:, :n], area, axis=1).max(axis=1, keepdims=True) if n > 1 else np.zeros((len(x), 1))
+    return np.hstack([x[:, [area, n + area, 2 * n + area]], other, x[:, 3 * n :]])
 
 
 def _term_weights(docs: list[tuple[list[str], set[int]]], seeds: list[list[str]], areas: int) -> dict[str, tuple[int, float]]:
@@ -212,7 +231,9 @@ def fit(rows: list[tuple[str | None, str | None, str | None, set[str]]], areas:
     # term weights of one half serve the other, so that links see shares as they are on new documents
     half = [_term_weights([d for k, d in enumerate(docs) if k % 2 == h], seeds, n) for h in (0, 1)]
     parts = [SubjectModel(areas, w, [], [], [], sources) for w in half]
-    x = np.array([parts[1 - k % 2].features(text, title, source) for k, (text, title, source, _) in enumerate(rows)]) if rows else np.zeros((0, 3 * n + SOURCES + 3))
+    x = np.zeros((len(rows), 3 * n + SOURCES + 3))
+    for h in (0, 1):
+        x[h::2] = parts[1 - h].features([r[:3] for r in rows[h::2]])[1]
     # documents without an area aren't labelled: the same documents without their topical sentences stand for them
     y = np.array([[float(a in labels) for a in range(n)] for _, labels in docs]).reshape(-1, n)
     blank = x.copy()
@@ -222,7 +243,7 @@ def fit(rows: list[tuple[str | None, str | None, str | None, set[str]]], areas:
     order = list(np.argsort(-y.sum(axis=0), kind="stable")) if len(y) else list(range(n))
     links, scales = [], []
     for k, a in enumerate(order):
-        inputs = np.array([np.r_[_own(r, a, n), t[order[:k]]] for r, t in zip(x, y, strict=True)]) if len(x) else np.zeros((0, 4 + SOURCES + 3 + k))
+        inputs = np.hstack([_own(x, a, n), y[:, order[:k]]])
         if len(inputs) < 20 or y[:, a].sum() < 3:  # too few labels: the share alone decides
             w = np.zeros(4 + SOURCES + 3 + k + 1)
             w[2], w[-1] = 8.0, -4.0
@@ -252,13 +273,11 @@ def _classifier(model_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: SubjectModel = model_b.value
         for b in batches:
-            docs, areas = [], []
-            for doc, text, title, source in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                x = model.features(text, title, source)
-                for a in model.decode(x) if x is not None else ():
-                    docs.append(doc)
-                    areas.append(model.areas[a])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(areas, pa.string())], names=["doc_id", "subject"])
+            for s in range(0, len(b), 2000):
+                part = b.slice(s, 2000)
+                kept, x = model.features(list(zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)))
+                row, area = np.nonzero(model.decode(x))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept[row])), pa.array([model.areas[a] for a in area], pa.string())], names=["doc_id", "subject"])
 
     return run
 
