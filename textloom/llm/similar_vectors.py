@@ -9,7 +9,7 @@ exact cosine, and the best ``k`` of all cells of a vector are kept.
 
 Scale: codebooks are fitted on a bounded sample (``SAMPLE`` rows); the number of routing codes grows
 with the root of the number of rows, so that cells keep about ``CELL`` rows.  Cells above ``CELL_CAP``
-are split by their next codes, as often as codes last; what then still is above it is searched in
+are cut along the order of their fine codes; rows of one code that fill more than two such parts are searched in
 blocks, every block against every other, so no row is left out.  Exact copies are one vector with
 many rows: they are collapsed before and led back after, each taking at most the ``k + 1`` smallest row
 identifiers of a group of copies.
@@ -283,41 +283,30 @@ def _merger(k: int):
     return run
 
 
-def _copies(units: DataFrame) -> DataFrame:
-    return units.select("id", F.explode("copies").alias("c")).select("id", "c.cell", "c.fine")
-
-
-def _key(depth: int):
-    bits = int(math.log2(FINE_CODES))
-    return F.shiftleft("cell", bits * depth).bitwiseOR(F.shiftright("fine", bits * (FINE_BOOKS - depth)))
-
-
 def _parts(units: DataFrame, rows: DataFrame, cap: int) -> DataFrame:
-    """``rows`` with part, block and home: cells over ``cap`` are split by further codes, at last into blocks."""
-    over, slim = [], _copies(units)
-    for depth in range(FINE_BOOKS + 1):
-        several = slim.withColumn("key", _key(depth)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
-        several = materialize(several, "large-cells")
-        if several.isEmpty():
-            break
-        over.append(broadcast_if_small(several))
-        slim = slim.withColumn("key", _key(depth)).join(over[-1].select("key"), "key", "left_semi").drop("key")
-    rows = rows.withColumn("depth", F.lit(0))
-    for depth, large in enumerate(over[:FINE_BOOKS]):
-        rows = rows.withColumn("key", F.when(F.col("depth") == depth, _key(depth))).join(large.select("key", F.lit(1).alias("_over")), "key", "left")
-        rows = rows.withColumn("depth", F.when(F.col("_over").isNotNull(), depth + 1).otherwise(F.col("depth"))).drop("_over", "key")
-    part = F.lit(None).cast("bigint")
-    for depth in range(FINE_BOOKS + 1):
-        part = F.when(F.col("depth") == depth, _key(depth) * (FINE_BOOKS + 1) + depth).otherwise(part)
-    rows = rows.withColumn("part", part)
-    if len(over) <= FINE_BOOKS:
-        return rows.select("part", F.lit(0).alias("block"), F.lit(True).alias("home"), "id", "cell", "fine", "norm", "vec", "scale")
-    full = over[FINE_BOOKS].select((F.col("key") * (FINE_BOOKS + 1) + FINE_BOOKS).alias("part"), F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
-    rows = rows.join(full, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    """``rows`` with part, block and home.
+
+    A cell above ``cap`` is cut into parts of about ``cap`` rows along the order of its rows' fine codes, so that like codes stay
+    together; the cuts are read off cumulated counts of codes, no cell is sorted.  Where one code alone holds more than two
+    parts' rows, the part is cut into blocks and every pair of blocks is searched.
+    """
+    code = F.shiftright("fine", int(math.log2(FINE_CODES)))  # all fine codes but the last
+    slim = units.select(F.explode("copies").alias("c")).select("c.cell", "c.fine")
+    over = materialize(slim.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "large-cells")
+    if over.isEmpty():
+        return rows.select(F.col("cell").alias("part"), F.lit(0).alias("block"), F.lit(True).alias("home"), "id", "cell", "fine", "norm", "vec", "scale")
+    over = broadcast_if_small(over)
+    counts = slim.join(over.select("cell"), "cell", "left_semi").groupBy("cell", code.alias("code")).agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("cell").orderBy("code")) - F.col("c")
+    number = F.least(F.floor(before / cap), F.greatest(F.floor(F.col("n") / cap), F.lit(1)) - 1)
+    cuts = materialize(counts.join(over, "cell").select("cell", "code", "c", number.cast("bigint").alias("number")), "cuts")
+    large = cuts.groupBy("cell", "number").agg(F.sum("c").alias("n")).where(F.col("n") > 2 * cap).select("cell", "number", F.ceil(F.col("n") / cap).cast("int").alias("blocks"))
+    rows = rows.withColumn("code", code).join(broadcast_if_small(cuts.drop("c")), ["cell", "code"], "left").withColumn("number", F.coalesce("number", F.lit(0)))
+    rows = rows.join(broadcast_if_small(materialize(large, "large-parts")), ["cell", "number"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     block = F.when(F.col("own") == F.col("other"), F.col("own")).otherwise(-1 - (i * F.col("blocks") + j))
-    return rows.select("part", block.cast("int").alias("block"), (F.col("own") == i).alias("home"), "id", "cell", "fine", "norm", "vec", "scale")
+    return rows.select(F.xxhash64("cell", "number").alias("part"), block.cast("int").alias("block"), (F.col("own") == i).alias("home"), "id", "cell", "fine", "norm", "vec", "scale")
 
 
 def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = K, cap: int = CELL_CAP) -> DataFrame:
