@@ -178,6 +178,8 @@ def _own(x: np.ndarray, area: int, n: int) -> np.ndarray:
 
 def _term_weights(docs: list[tuple[list[str], set[int]]], seeds: list[list[str]], areas: int) -> dict[str, tuple[int, float]]:
     """Terms that speak for one area, from labelled documents and the areas' own words."""
+    if not areas:
+        return {}
     vocabulary: dict[str, int] = {}
     own = {vocabulary.setdefault(w.lower(), len(vocabulary)): a for a, words in enumerate(seeds) for w in words}
     ids, sizes, home = [], [], []
@@ -235,7 +237,7 @@ def fit(rows: list[tuple[str | None, str | None, str | None, set[str]]], areas:
     for h in (0, 1):
         x[h::2] = parts[1 - h].features([r[:3] for r in rows[h::2]])[1]
     # documents without an area aren't labelled: the same documents without their topical sentences stand for them
-    y = np.array([[float(a in labels) for a in range(n)] for _, labels in docs]).reshape(-1, n)
+    y = np.array([[float(a in labels) for a in range(n)] for _, labels in docs]).reshape(len(docs), n)
     blank = x.copy()
     blank[:, :n], blank[:, n : 2 * n], blank[:, 2 * n : 3 * n] = 0, -1, 0
     blank = blank[::4]
