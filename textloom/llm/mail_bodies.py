@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 #: Lines shorter than this (letters and digits) are too common to be led to an earlier author.
 AUTHORED_LENGTH = 40
 #: Mails in which a sender repeats a line below the closing, for it to be a signature.
@@ -125,7 +127,8 @@ def mark_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
 def new_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
     """(mail, line_no, text) of the lines newly written by the sender."""
     key = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
-    rows = mark_lines(mails, id_col).where("kind = 'new'").withColumn("key", key)
+    # written once: three rules read it, and its windows are the costly part
+    rows = materialize(mark_lines(mails, id_col).where("kind = 'new'").withColumn("key", key).drop("kind"), "new-lines")
     # first-authored: the sender who wrote the line first in the thread
     written = rows.where(F.col("thread").isNotNull() & F.col("sender").isNotNull() & (F.length("key") >= AUTHORED_LENGTH)).groupBy("thread", "key", "sender").agg(F.min(F.struct("sent", "mail")).alias("m"))
     by_date = Window.partitionBy("thread", "key").orderBy("m", "sender")
