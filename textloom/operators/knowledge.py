@@ -138,3 +138,50 @@ def pivot_values(rows: DataFrame, values: list[str]) -> DataFrame:
     wanted = rows.where(F.col("o").isin(*values))
     columns = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("o") == v, F.col("s")))), "|").alias(v.replace(" ", "_")) for v in values]
     return wanted.groupBy("doc").agg(*columns)
+
+
+def spo_units(rows: DataFrame) -> DataFrame:
+    """(s, p, o, count, types): whole triples with the kinds of field they come from."""
+    return rows.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("count"), F.array_join(F.array_sort(F.collect_set("field_type")), ",").alias("types"))
+
+
+def concept_boosts(counts: DataFrame, most: float = 10.0, by: str | None = None) -> DataFrame:
+    """Counts n as boosts most * (n - min + 0.001) / (max - min); equal counts as if max were min + 1."""
+    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
+    low, high = F.min("n").over(w), F.max("n").over(w)
+    return counts.withColumn("boost", F.round(F.lit(most) * (F.col("n") - low + 0.001) / F.when(high == low, F.lit(1)).otherwise(high - low), 6))
+
+
+def role_clauses(docs: DataFrame, query: DataFrame, groupings: tuple[str, ...] = ("spo", "sp", "so", "po", "s", "p", "o"), boost: float = 1.0) -> DataFrame:
+    """(qid, doc, score): documents whose triples equal a query's in one of the mixes of classes and texts.
+
+    docs: (doc, s, p, o, cs, cp, co), query: (qid, the same).  Each mix is a key of both sides, so that all seven clauses are one equi-join;
+    a document scores ``boost`` for every distinct (mix, key) it shares.  Unknown classes (-1) match nothing by class.
+    """
+    def keys(df: DataFrame, who: str) -> DataFrame:
+        spread = [
+            F.when(F.lit(True) if not (known := [F.col(f"c{x}") >= 0 for x in g]) else _all(known), F.struct(F.lit(g).alias("grouping"), F.concat_ws("|", *[F.concat(F.lit("#"), F.col(f"c{x}").cast("string")) if x in g else F.lower(x) for x in "spo"]).alias("key")))
+            for g in groupings
+        ]
+        return df.select(who, F.explode(F.array_compact(F.array(*spread))).alias("k")).select(who, "k.*").distinct()
+
+    return keys(docs, "doc").join(keys(query, "qid"), ["grouping", "key"]).groupBy("qid", "doc").agg((F.count(F.lit(1)) * boost).alias("score"))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+#: Questions that explain an entity, by its kind (fixed values).
+EXPLAIN = {"person": "Who is {}?", "organization": "What is {}?", "organisation": "What is {}?", "location": "Where is {}?", "date": "What happened on {}?"}
+
+
+def entity_questions(rows: DataFrame) -> DataFrame:
+    """(doc, entity, question) for 'entity rel:instanceof kind' triples of kinds that can be explained."""
+    asked = F.lit(None).cast("string")
+    for kind, template in EXPLAIN.items():
+        asked = F.when(F.col("o") == kind, F.concat(F.lit(template.split("{}")[0]), F.col("s"), F.lit(template.split("{}")[1]))).otherwise(asked)
+    return rows.where(F.col("p") == "rel:instanceof").select("doc", F.col("s").alias("entity"), asked.alias("question")).where("question is not null").distinct()

@@ -50,7 +50,7 @@ register("pos_profile", lambda s, d: _tokens(s, d).groupBy(F.coalesce("pos", F.l
 _KG = """
 k as (select record_id as doc, i - 1 as no, kg[i] as t from (select record_id, kg, unnest(range(1, len(kg) + 1)) as i from converted_docs)),
 tr as (select doc, no, coalesce(array_to_string(t.subject.content, ' '), '') as s, coalesce(array_to_string(t.property.content, ' '), '') as p, coalesce(array_to_string(t."value".content, ' '), '') as o,
-  coalesce(t.subject."class", -1) as cs, coalesce(t.property."class", -1) as cp, coalesce(t."value"."class", -1) as co, coalesce(t.field_type, '') as field_type from k)
+  cast(coalesce(t.subject."class", -1) as bigint) as cs, cast(coalesce(t.property."class", -1) as bigint) as cp, cast(coalesce(t."value"."class", -1) as bigint) as co, coalesce(t.field_type, '') as field_type from k)
 """
 
 
@@ -97,7 +97,7 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register(
     "kg_add_class", _classes,
-    f"with {_KG}, u as (select 'subject' as triple_type, s as sentence from tr union all select 'relation', p from tr union all select 'object', o from tr), c as (select triple_type, sentence, ascii(lower(sentence)) % 16 as class from u where sentence <> '' group by all having count(*) > 1) select doc, no, coalesce(a.class, -1) as cs, coalesce(b.class, -1) as cp, coalesce(e.class, -1) as co from tr left join c a on a.triple_type = 'subject' and a.sentence = s left join c b on b.triple_type = 'relation' and b.sentence = p left join c e on e.triple_type = 'object' and e.sentence = o",
+    f"with {_KG}, u as (select 'subject' as triple_type, s as sentence from tr union all select 'relation', p from tr union all select 'object', o from tr), c as (select triple_type, sentence, cast(ascii(lower(sentence)) % 16 as bigint) as class from u where sentence <> '' group by all having count(*) > 1) select doc, no, coalesce(a.class, -1) as cs, coalesce(b.class, -1) as cp, coalesce(e.class, -1) as co from tr left join c a on a.triple_type = 'subject' and a.sentence = s left join c b on b.triple_type = 'relation' and b.sentence = p left join c e on e.triple_type = 'object' and e.sentence = o",
 )
 register("svo_trim_bounds", lambda s, d: G.trimmed_bounds(load(s, d, "converted_docs"), "record_id", "kg", ("ADP", "DET", "PRON", "PUNCT")), f"""with {_KG},
 z as (select doc, no, t.subject.content as a, t.subject.pos as ap, t."value".content as b, t."value".pos as bp from k),
@@ -114,7 +114,7 @@ _WORDS = r"""
 words as (select doc_id, regexp_extract_all(lower("text"), '[\p{L}\p{N}]+') as w from documents),
 tok as (select doc_id, i - 1 as pos, w[i] as term from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words)),
 lex as (select list_aggregate(p, 'string_agg', ' ') as key, len(p) as n, subject as label, max(1.0) as weight from (select regexp_extract_all(lower(trim(c)), '[\p{L}\p{N}]+|[-&]') as p, subject from (select unnest(content) as c, subject from subject_areas)) group by all),
-grams as (select doc_id, i - 1 as start, k as n, array_to_string(w[i:i + k - 1], ' ') as key from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words), (select unnest([1, 2, 3, 4, 5, 6, 7]) as k) where i + k - 1 <= len(w)),
+grams as (select doc_id, i - 1 as start, cast(k as bigint) as n, array_to_string(w[i:i + k - 1], ' ') as key from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words), (select unnest([1, 2, 3, 4, 5, 6, 7]) as k) where i + k - 1 <= len(w)),
 m as (select doc_id, start, n, label, weight from grams join lex using (key, n))
 """
 

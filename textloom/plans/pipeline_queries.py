@@ -70,7 +70,7 @@ register("html_pages", _pages, r"""select cast(doc_id as varchar) as source_doc_
 register("exclude_antijoin", lambda s, d: I.not_yet_done(load(s, d, "documents").select("doc_id", "source"), load(s, d, "subject_labels").select("doc_id"), "doc_id"), "select doc_id, source from documents where doc_id not in (select doc_id from subject_labels where doc_id is not null)")
 register("upsert_latest", lambda s, d: I.upsert_latest(load(s, d, "converted_docs").where("source_doc_id is not null"), ["source_doc_id"], [F.desc("ingested_at"), F.desc("record_id")]).select("source_doc_id", "record_id"), "select source_doc_id, record_id from converted_docs where source_doc_id is not null qualify row_number() over (partition by source_doc_id order by ingested_at desc, record_id desc) = 1")
 register("delete_by_id", lambda s, d: I.delete_by_id(load(s, d, "converted_docs"), load(s, d, "converted_docs").where("error"), "source_doc_id").select("record_id"), "select record_id from converted_docs where source_doc_id is null or source_doc_id not in (select source_doc_id from converted_docs where error and source_doc_id is not null)")
-register("merge_rows", lambda s, d: W.merge_latest(load(s, d, "nation").select("n_nationkey", "n_name"), load(s, d, "nation").select("n_nationkey", F.upper("n_name").alias("n_name")).where("n_nationkey < 5"), "n_nationkey"), "select n_nationkey, case when n_nationkey < 5 then upper(n_name) else n_name end as n_name from nation")
+register("merge_rows", lambda s, d: W.merge_latest(load(s, d, "nation").select("n_nationkey", "n_name"), load(s, d, "nation").select("n_nationkey", F.upper("n_name").alias("n_name")).where("n_nationkey < 5"), "n_nationkey"), "select cast(n_nationkey as bigint) as n_nationkey, case when n_nationkey < 5 then upper(n_name) else n_name end as n_name from nation")
 register("conll_mask", lambda s, d: load(s, d, "tagged_docs").select("tagged_id", F.coalesce(C.mask_lemmas(F.col("content_morphosyntax")), F.lit("")).alias("masked")), "select tagged_id, coalesce(array_to_string([case when coalesce(t.pos in (" + ", ".join(f"'{p}'" for p in C.FUNCTION_POS) + "), true) then '_' else coalesce(t.lemma, '_') end for t in content_morphosyntax], ' '), '') as masked from tagged_docs")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import index as I
 from ..operators import retrieval as R
-from ..runtime import load
+from ..runtime import load, materialize
 from .catalog import register
 
 _TOKENS = r"""
@@ -31,7 +31,7 @@ _TOP = "row_number() over (partition by qid order by score desc, doc_id)"
 
 
 class _Index:
-    """The index tables of one folder, lazily."""
+    """The index tables of one folder; postings that are read more than once are written before."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.docs = load(spark, sf_dir, "documents")
@@ -41,6 +41,11 @@ class _Index:
         self.queries = load(spark, sf_dir, "eval_queries")
         self.terms = R.query_terms(self.queries)
 
+    def stored(self) -> _Index:
+        self.posts = materialize(self.posts, "postings")
+        self.dl = materialize(self.dl, "lengths")
+        return self
+
     def found(self) -> DataFrame:
         return R.match_or(self.posts, self.dl, self.terms)
 
@@ -54,12 +59,12 @@ register(
 )
 register("term_stats", lambda s, d: I.term_stats(_Index(s, d).posts), f"with {_TOKENS} select term, count(*) as df, cast(sum(tf) as bigint) as ttf from post group by term")
 register("field_stats", lambda s, d: I.field_stats(_Index(s, d).posts), f"with {_TOKENS} select count(distinct doc_id) as doc_count, count(*) as sum_df, cast(sum(tf) as bigint) as sum_ttf from post")
-register("bm25_topk", lambda s, d: R.page(_Index(s, d).found()).select("qid", "rank", "doc_id", "score"), f"with {_BM25} select qid, {_TOP} as rank, doc_id, score from scored qualify rank <= 10")
-register("match_or", lambda s, d: _Index(s, d).found().groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best")), f"with {_BM25} select qid, count(*) as hits, max(score) as best from scored group by qid")
+register("bm25_topk", lambda s, d: R.page(_Index(s, d).stored().found()).select("qid", "rank", "doc_id", "score"), f"with {_BM25} select qid, {_TOP} as rank, doc_id, score from scored qualify rank <= 10")
+register("match_or", lambda s, d: _Index(s, d).stored().found().groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best")), f"with {_BM25} select qid, count(*) as hits, max(score) as best from scored group by qid")
 
 
 def _match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     terms = R.query_terms(x.queries, terms=F.slice(T.analyze(F.col("query"), T.STOP_WORDS), 1, 3))
     return R.match_and(R.match_or(x.posts, x.dl, terms), terms).select("qid", "doc_id", "score")
 
@@ -69,12 +74,12 @@ _AND = _BM25.replace(_QUERY, rf"""
 qt as (select qid, term, cast(count(*) as double) as boost from (select qid, unnest([x for x in regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+') if x not in ({_STOP})][1:3]) as term from eval_queries) group by all)
 """)
 register("match_and", _match_and, f"with {_AND} select qid, doc_id, score from scored join (select qid, count(*) as size from qt group by qid) using (qid) where matched = size")
-register("page_offset", lambda s, d: R.page(_Index(s, d).found(), size=5, start=10).select("qid", "rank", "doc_id", "score"), f"with {_BM25} select qid, {_TOP} as rank, doc_id, score from scored qualify rank between 11 and 15")
+register("page_offset", lambda s, d: R.page(_Index(s, d).stored().found(), size=5, start=10).select("qid", "rank", "doc_id", "score"), f"with {_BM25} select qid, {_TOP} as rank, doc_id, score from scored qualify rank between 11 and 15")
 
 
 def _expand_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """size + N candidates by score, scored again by coverage of the query, cut to size."""
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     wide = R.page(x.found(), size=30).drop("rank")
     size = x.terms.groupBy("qid").agg(F.count(F.lit(1)).alias("size"))
     again = wide.join(F.broadcast(size), "qid").withColumn("score", F.round(F.col("score") * F.col("matched") / F.col("size") + 1e-9, 6))
@@ -85,12 +90,12 @@ register(
     "expand_results", _expand_results,
     f"with {_BM25}, wide as (select *, {_TOP} as r from scored qualify r <= 30), again as (select qid, doc_id, round(score * matched / size + 1e-9, 6) as score from wide join (select qid, count(*) as size from qt group by qid) using (qid)) select qid, {_TOP} as rank, doc_id, score from again qualify rank <= 10",
 )
-register("score_normalize", lambda s, d: R.normalize(R.page(_Index(s, d).found())).select("qid", "doc_id", "normalized"), f"with {_BM25}, top as (select *, {_TOP} as r from scored qualify r <= 10) select qid, doc_id, round(score / max(score) over (partition by qid), 6) as normalized from top")
+register("score_normalize", lambda s, d: R.normalize(R.page(_Index(s, d).stored().found())).select("qid", "doc_id", "normalized"), f"with {_BM25}, top as (select *, {_TOP} as r from scored qualify r <= 10) select qid, doc_id, round(score / max(score) over (partition by qid), 6) as normalized from top")
 
 
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank lists of clauses run separately (query and description), scores summed by document."""
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     lists = [R.page(x.found()), R.page(R.match_or(x.posts, x.dl, R.query_terms(x.queries, text="description")))]
     return R.page(R.boolean(lists)).select("qid", "rank", "doc_id", "score")
 
@@ -102,7 +107,7 @@ register("merge_clauses", _merge, f"with {_BM25}, {_DESCRIBED}, lists as (select
 
 def _bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """should: query; must: source of kind wiki (extra clause with wildcard); must_not: German documents."""
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     found = x.found()
     kinds = x.docs.select("doc_id", F.col("source").like("wiki/%").alias("wiki"), (F.col("lang") == "de").alias("german"))
     tagged = found.join(kinds, "doc_id")
@@ -114,7 +119,7 @@ register("bool_must_should", _bool, f"with {_BM25}, kept as (select qid, doc_id,
 
 
 def _penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     return R.penalties(R.page(x.found()), x.posts, x.terms)
 
 
@@ -142,7 +147,7 @@ register(
 
 
 def _expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     return R.expand(x.terms, R.page(x.found(), size=3), x.posts)
 
 
@@ -159,7 +164,7 @@ register("query_expansion", _expansion, _EXPAND)
 
 
 def _see_also(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     return R.min_max(R.more_like(R.page(x.found(), size=1), x.posts), "score", []).select("src", "dst", "score", "scaled")
 
 

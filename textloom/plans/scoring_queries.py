@@ -62,7 +62,7 @@ register(
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of each question in the best documents found for it."""
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     top = R.page(x.found(), size=3).join(x.queries.select("qid", "query"), "qid").join(x.docs.select("doc_id", "text"), "doc_id")
     return top.select("qid", "doc_id", F.round(S.coverage(F.col("query"), F.col("text"), T.STOP_WORDS), 6).alias("coverage"))
 
@@ -74,7 +74,7 @@ register("qa_coverage", _coverage, _COVER)
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sentences of the best documents as answers, equal ones brought together."""
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     first = F.get(T.sentences(F.col("text")), F.lit(0))
     rows = R.page(x.found(), size=10).join(x.docs.select("doc_id", first.alias("answer")), "doc_id").select("qid", "answer", "score", F.col("rank").alias("place"))
     return S.best_answers(S.group_answers(rows.where("answer is not null")))
@@ -156,7 +156,7 @@ def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register(
     "nearest_centroid", _centroids,
-    "with e as (select vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings), c0 as (select label, i, avg(embedding[i]::double) as x from e group by all), c as (select label, list(x order by i) as c from c0 group by 1), d as (select vec_id as id, c.label, round(list_distance(embedding::double[], c), 6) as distance from embeddings, c) select id, label, distance from d qualify row_number() over (partition by id order by distance, label) = 1",
+    "with e as (select vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings), c0 as (select label, i, avg(embedding[i]::double) as x from e group by all), c as (select label, list(x order by i) as c from c0 group by 1), d as (select vec_id as id, c.label, round(list_distance(embedding::double[], c), 6) as distance from embeddings, c) select id, cast(label as bigint) as label, distance from d qualify row_number() over (partition by id order by distance, label) = 1",
 )
 register("kmeans_roles", lambda s, d: V.kmeans_by_role(load(s, d, "relation_names"), "relation_id", "triple_type", "embedding", "count"))
 
@@ -171,7 +171,7 @@ register("embedding_offsets", _offsets, 'select emb_id, cast(coalesce(sum(coales
 
 # evaluation: documents of the passages' words as judgements of the questions' run
 def _run_and_qrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    x = _Index(spark, sf_dir)
+    x = _Index(spark, sf_dir).stored()
     run = R.page(x.found(), size=500).select("qid", "rank", "doc_id", "score")
     judged = R.page(R.match_or(x.posts, x.dl, R.query_terms(x.queries, text="description")), size=20).join(x.queries.select("qid", F.coalesce("relevance", F.lit(1)).alias("rel")), "qid")
     return run, judged.select("qid", "doc_id", "rel")
@@ -182,7 +182,7 @@ _DESC = _BM25.replace("lower(query)", "lower(description)")
 _EVAL = f"""
 with run as (select * from (with {_BM25_Q} select qid, {_TOP} as rank, doc_id, score from scored qualify rank <= 500)),
 qr as (select qid, doc_id, coalesce(relevance, 1) as rel from (with {_DESC} select qid, {_TOP} as r, doc_id from scored qualify r <= 20) join eval_queries using (qid)),
-ks as (select unnest([10, 50, 100, 500]) as k),
+ks as (select cast(unnest([10, 50, 100, 500]) as bigint) as k),
 j as (select run.*, coalesce(rel, 0) as rel, cast(coalesce(rel, 0) > 0 as int) as hit from run left join qr using (qid, doc_id)),
 h as (select *, sum(hit) over (partition by qid order by rank) as hits from j),
 cut as (select *, row_number() over (partition by qid, k order by score, rank) as i, count(*) over (partition by qid, k) as n from h, ks where rank <= k),

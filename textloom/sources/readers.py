@@ -184,3 +184,32 @@ def line_items(df: DataFrame, text_col: str) -> DataFrame:
     """(line_no, line): the lines of a text column."""
     return df.select(F.posexplode(F.split(text_col, r"\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")
 
+
+
+def binary_documents(spark: SparkSession, folder: str, extract: Callable[[bytes, str], str], pattern: str = "*") -> DataFrame:
+    """Documents of office and PDF files below a folder, by an extractor (content, mime type) -> text that the caller brings."""
+    kinds = {".pdf": "application/pdf", ".rtf": "application/rtf", ".doc": "application/msword", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".odt": "application/vnd.oasis.opendocument.text", ".ppt": "application/vnd.ms-powerpoint", ".html": "text/html"}
+    mime = F.lit("application/octet-stream")
+    for suffix, kind in kinds.items():
+        mime = F.when(F.lower("path").endswith(suffix), kind).otherwise(mime)
+
+    @F.pandas_udf(types.StringType())
+    def text(content: pd.Series, kind: pd.Series) -> pd.Series:
+        out = []
+        for c, k in zip(content, kind, strict=True):
+            try:
+                out.append(extract(c, k))
+            except Exception:  # noqa: BLE001 - an extractor's failure is a document with error = true
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    done = files.select(F.col("path").alias("source_doc_id"), text(F.col("content"), mime).alias("t"))
+    return done.select("source_doc_id", F.lit("").alias("title"), F.when(F.col("t").isNotNull(), F.array("t")).otherwise(F.array().cast("array<string>")).alias("content"), F.col("t").isNull().alias("error"))
+
+
+def tagged_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sent, pos_no, token, pos, ner): sentences a line, tokens 'token|pos|ner' between blanks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("sent"), F.posexplode(F.split("value", " ")).alias("pos_no", "t")).where("t <> ''")
+    c = F.split("t", r"\|")
+    return rows.select("file", "sent", "pos_no", F.get(c, F.lit(0)).alias("token"), F.get(c, F.lit(1)).alias("pos"), F.get(c, F.lit(2)).alias("ner"))
