@@ -39,9 +39,9 @@ DIM, K = 64, 5
 #: Rows that codebooks are fitted on at most.
 SAMPLE = 40_000
 CELL, CELL_CAP = 400, 4000
-COPIES, BEAM = 4, 4
+COPIES, BEAM = 5, 5
 FINE_BOOKS, FINE_CODES = 4, 64
-RERANK = 96
+RERANK = 160
 
 
 def unit_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
