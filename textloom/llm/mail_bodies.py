@@ -26,7 +26,7 @@ AUTHORED_LENGTH = 40
 RECURRENT = 3
 
 QUOTED = r"^(\t| *>| *\|( |$)| *:( |$|>))"
-TABLE_ROW = r"^ *\|[^|]+(\|[^|]*)+\|$"
+TABLE_ROW = r"^ *\|\s*[^|\s][^|]*(\|[^|]*){2}\|"
 INTRODUCTION = r"(?i)^(on|am|le|el|il) .*\d.*(wrote|schrieb|a écrit|escribió|ha scritto)\b.*:$|^.*<[^ >]+@[^ >]+> (writes|wrote):$"
 INTRODUCTION_HEAD = r"(?i)^(on|am|le) .*\d.*<[^ >]+@[^ >]+>$"
 INTRODUCTION_TAIL = r"(?i)^(wrote|writes|schrieb|a écrit)\s*:$"
@@ -86,9 +86,12 @@ def mark_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
     # "more than" a number, alone among lines without prefix, is no quotation
     alone = F.col("raw").rlike(r"^>\d") & ~F.coalesce(F.lag("marked").over(at), F.lit(False)) & ~F.coalesce(F.lead("marked").over(at), F.lit(False)) & ~F.coalesce(F.lag("t").over(at), F.lit("")).rlike(r":$")
     rows = rows.withColumn("_alone", alone).withColumn("marked", F.col("marked") & ~F.col("_alone"))
+    first, last = F.element_at(F.split("sender", " "), 1), F.element_at(F.split("sender", " "), -1)
+    initials = F.array_join(F.transform(F.split("sender", " "), lambda w: F.substring(w, 1, 1)), "")
+    named = F.coalesce((t == F.col("sender")) | (t == first) | (t == last) | (t == initials), F.lit(False))
     # the end of a quoted line that was wrapped again stands without prefix between prefixed lines
     above = F.coalesce(F.lag(F.when(F.col("marked"), F.regexp_replace("raw", r"^[\s>|:]+", ""))).over(at), F.lit(""))
-    broken = ~F.col("blank") & ~F.col("marked") & (above != "") & (~above.rlike(r"[.?!:]$") | F.coalesce(F.lead("marked").over(at), F.lit(False))) & ~t.rlike(CLOSING)
+    broken = ~F.col("blank") & ~F.col("marked") & (above != "") & (~above.rlike(r"[.?!:]$") | F.coalesce(F.lead("marked").over(at), F.lit(False))) & ~t.rlike(CLOSING) & ~named & ~t.rlike(DEVICE) & ~t.rlike(SEPARATOR)
     rows = rows.withColumn("quoted", F.col("marked") | broken)
     after, after2, before = (F.coalesce(x, F.lit("")) for x in (F.lead("t", 1).over(at), F.lead("t", 2).over(at), F.lag("t", 1).over(at)))
     rows = rows.withColumns({"after": after, "after2": after2, "before": before, "next_quoted": F.coalesce(F.last(F.when(~F.col("blank"), F.col("quoted")), ignorenulls=True).over(back), F.lit(False))})
@@ -102,9 +105,6 @@ def mark_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
     rows = rows.withColumn("old", F.coalesce(F.col("line_no") >= F.col("rest"), F.lit(False)))
     cut = F.col("blank") | F.col("quoted") | F.col("intro") | t.rlike(SEPARATOR)
     rows = rows.withColumn("para", F.sum(cut.cast("int")).over(at))
-    first, last = F.element_at(F.split("sender", " "), 1), F.element_at(F.split("sender", " "), -1)
-    initials = F.array_join(F.transform(F.split("sender", " "), lambda w: F.substring(w, 1, 1)), "")
-    named = F.coalesce((t == F.col("sender")) | (t == first) | (t == last) | (t == initials), F.lit(False))
     unknown = F.col("sender").isNull() & ((t.rlike(NAME_LIKE) & (F.col("before").rlike(CLOSING) | F.col("before").rlike(r"^--$") | F.col("after2").rlike(CONTACT) | F.lead("t", 3).over(at).rlike(CONTACT) | F.lag("t", 2).over(at).rlike(CLOSING))) | (t.rlike(r"^\p{Lu}\p{Ll}+$") & (F.col("before").rlike(CLOSING) | ((F.col("before") == "") & F.lag("t", 2).over(at).rlike(CLOSING)))) | (t.rlike(r"^\p{Lu}{2,3}$") & F.col("before").rlike(r"^$|[.?!]$")))
     live = open_ & ~F.col("old") & ~F.col("intro")
     sign = live & (named | unknown | t.rlike(CARD))
@@ -119,7 +119,7 @@ def mark_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
     below = F.coalesce(F.col("line_no") > F.col("opens"), F.lit(False)) & contact
     kind = (
         F.when(F.col("blank"), "blank").when(F.col("quoted") | F.col("old"), "quoted").when(F.col("intro"), "header").when(t.rlike(SEPARATOR), "separator")
-        .when(F.col("notice") | F.coalesce(F.col("line_no") >= F.col("warns"), F.lit(False)), "notice").when(F.col("closing"), "closing").when(F.col("sign") | below, "signature").otherwise("new")
+        .when(F.col("notice") | F.coalesce(F.col("line_no") >= F.col("warns"), F.lit(False)), "notice").when(F.col("closing"), "closing").when(F.col("sign") | below | t.rlike(CONTACT), "signature").otherwise("new")
     )
     return rows.select("mail", "source", "thread", "sender", "sent", "line_no", t.alias("text"), kind.alias("kind"), F.coalesce(F.col("line_no") > F.col("tail"), F.lit(False)).alias("below_closing"))
 
