@@ -43,13 +43,13 @@ register("concept_boosts", lambda s, d: G.concept_boosts(_triples(s, d).groupBy(
 
 
 def _role_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share triples, by text or class, with every tenth document as query."""
-    rows = _triples(spark, sf_dir).select("doc", "s", "p", "o", *[F.when(F.col(c) >= 0, F.col(c)).otherwise(-1).alias(c) for c in ("cs", "cp", "co")])
+    """Documents that share triples, by text or class, with every 20th document as query; classes are those of first letters."""
+    rows = _triples(spark, sf_dir).select("doc", "s", "p", "o", *[(F.ascii(F.lower(x)) % 16).alias(f"c{x}") for x in "spo"])
     query = rows.where("doc % 20 = 0").withColumnRenamed("doc", "qid")
     return G.role_clauses(rows, query).where("doc <> qid")
 
 
-_MIX = " union all ".join("select doc, '" + g + "' as grouping, " + " || '|' || ".join((f"'#' || c{x}" if x in g else f"lower({x})") for x in "spo") + " as key from tr where " + " and ".join(f"c{x} >= 0" for x in g) for g in ("spo", "sp", "so", "po", "s", "p", "o"))
+_MIX = " union all ".join("select doc, '" + g + "' as grouping, " + " || '|' || ".join((f"'#' || (ascii(lower({x})) % 16)" if x in g else f"lower({x})") for x in "spo") + " as key from tr" for g in ("spo", "sp", "so", "po", "s", "p", "o"))
 register("kg_role_clauses", _role_clauses, f"with {_KG}, mix as (select distinct doc, grouping, key from ({_MIX})) select q.doc as qid, m.doc as doc, cast(count(*) as double) as score from mix m join mix q using (grouping, key) where q.doc % 20 = 0 and q.doc <> m.doc group by all")
 register("entity_questions", lambda s, d: G.entity_questions(G.triples(load(s, d, "mail_docs"), "mail_id")), "with k as (select mail_id as doc, unnest(kg) as t from mail_docs), r as (select doc, array_to_string(t.subject.content, ' ') as s, array_to_string(t.property.content, ' ') as p, array_to_string(t.\"value\".content, ' ') as o from k) select distinct doc, s as entity, case o when 'person' then 'Who is ' || s || '?' when 'date' then 'What happened on ' || s || '?' end as question from r where p = 'rel:instanceof' and o in ('person', 'date')")
 
