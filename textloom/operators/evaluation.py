@@ -52,7 +52,13 @@ def overall(per_query: DataFrame) -> DataFrame:
 
 
 def document_numbers(names: DataFrame, known: DataFrame, first_new: int = 10_000_000) -> DataFrame:
-    """(name, number): numbers of known names (name, number), further ones from ``first_new`` on in order of name."""
+    """(name, number): numbers of known names (name, number), further ones from ``first_new`` on.
+
+    New names are numbered by (two digits of their MD5, name): counted by those digits, and numbered inside them.
+    """
     distinct = names.select("name").distinct().join(known, "name", "left")
-    new = distinct.where("number is null").select("name", (F.row_number().over(Window.orderBy("name")) - 1 + first_new).cast("bigint").alias("number"))
-    return distinct.where("number is not null").unionByName(new)
+    new = distinct.where("number is null").select("name", F.substring(F.md5("name"), 1, 2).alias("b"))
+    before = new.groupBy("b").agg(F.count(F.lit(1)).alias("n")).selectExpr("b", "sum(n) over (order by b) - n as before")  # 256 rows at most
+    own = F.row_number().over(Window.partitionBy("b").orderBy("name"))
+    fresh = new.withColumn("own", own).join(F.broadcast(before), "b").select("name", (F.col("before") + F.col("own") - 1 + first_new).cast("bigint").alias("number"))
+    return distinct.where("number is not null").unionByName(fresh)

@@ -85,11 +85,17 @@ def role_groupings(rows: DataFrame) -> DataFrame:
 
 
 def scaled_boosts(counts: DataFrame, by: str, n: str = "n", most: int = 10, skip: int = 0) -> DataFrame:
-    """Counts rescaled to integers 1..most within their group, the ``skip`` highest left out."""
-    w = Window.partitionBy(by)
-    kept = counts.withColumn("_r", F.row_number().over(w.orderBy(F.desc(n), "key"))).where(F.col("_r") > skip).drop("_r")
-    low, high = F.min(n).over(w), F.max(n).over(w)
-    return kept.withColumn("boost", F.when(high == low, F.lit(1)).otherwise(F.floor(1 + (F.col(n) - low) * (most - 1) / (high - low) + 1e-9)).cast("int"))
+    """Counts rescaled to integers 1..most within their group, the ``skip`` highest left out.
+
+    Only the ``skip`` highest are ranked; the bounds are aggregates, so no group stands in one task.
+    """
+    kept = counts
+    if skip:
+        top = counts.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(n), "key"))).where(F.col("_r") <= skip)
+        kept = counts.join(top.select(by, "key"), [by, "key"], "left_anti")
+    bounds = kept.groupBy(by).agg(F.min(n).alias("_low"), F.max(n).alias("_high"))
+    boost = F.when(F.col("_high") == F.col("_low"), F.lit(1)).otherwise(F.floor(1 + (F.col(n) - F.col("_low")) * (most - 1) / (F.col("_high") - F.col("_low")) + 1e-9))
+    return kept.join(bounds, by).withColumn("boost", boost.cast("int")).select(*counts.columns, "boost")
 
 
 def relation_units(rows: DataFrame) -> DataFrame:
@@ -145,11 +151,12 @@ def spo_units(rows: DataFrame) -> DataFrame:
     return rows.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("count"), F.array_join(F.array_sort(F.collect_set("field_type")), ",").alias("types"))
 
 
-def concept_boosts(counts: DataFrame, most: float = 10.0, by: str | None = None) -> DataFrame:
+def concept_boosts(counts: DataFrame, most: float = 10.0, by: list[str] | None = None) -> DataFrame:
     """Counts n as boosts most * (n - min + 0.001) / (max - min); equal counts as if max were min + 1."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    low, high = F.min("n").over(w), F.max("n").over(w)
-    return counts.withColumn("boost", F.round(F.lit(most) * (F.col("n") - low + 0.001) / F.when(high == low, F.lit(1)).otherwise(high - low), 6))
+    bounds = counts.groupBy(*(by or [])).agg(F.min("n").alias("_low"), F.max("n").alias("_high"))
+    joined = counts.join(bounds, by) if by else counts.crossJoin(F.broadcast(bounds))  # one row
+    width = F.when(F.col("_high") == F.col("_low"), F.lit(1)).otherwise(F.col("_high") - F.col("_low"))
+    return joined.withColumn("boost", F.round(F.lit(most) * (F.col("n") - F.col("_low") + 0.001) / width, 6)).drop("_low", "_high")
 
 
 def role_clauses(docs: DataFrame, query: DataFrame, groupings: tuple[str, ...] = ("spo", "sp", "so", "po", "s", "p", "o"), boost: float = 1.0) -> DataFrame:

@@ -51,7 +51,7 @@ def match_or(posts: DataFrame, dl: DataFrame, terms: DataFrame) -> DataFrame:
 def match_and(found: DataFrame, terms: DataFrame) -> DataFrame:
     """Those of ``match_or`` that have every term of the query."""
     size = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("size"))
-    return found.join(F.broadcast(size), "qid").where("matched = size").drop("size")
+    return found.join(size, "qid").where("matched = size").drop("size")
 
 
 def phrases(toks: DataFrame, phrase_table: DataFrame, slop: int = 0, longest: int = 8) -> DataFrame:
@@ -97,10 +97,11 @@ def normalize(found: DataFrame) -> DataFrame:
 
 
 def min_max(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """``value`` scaled to 0..1 within its group; 0 where all are equal."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn("scaled", F.round(F.coalesce((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)), 6))
+    """``value`` scaled to 0..1 within its group (of all rows if none is named); 0 where all are equal."""
+    bounds = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    joined = df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))  # one row
+    scaled = F.coalesce((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)), F.lit(0.0))
+    return joined.withColumn("scaled", F.round(scaled, 6)).drop("_low", "_high")
 
 
 #: Penalties of a document by the sizes of the query's and document's sets of terms.
@@ -118,7 +119,7 @@ def penalties(found: DataFrame, posts: DataFrame, terms: DataFrame) -> DataFrame
     """(qid, doc_id, strategy, penalty) for every candidate and strategy at once."""
     size_d = posts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("d"))
     size_q = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("q"))
-    sized = found.select("qid", "doc_id", F.col("matched").alias("i")).join(size_d, "doc_id").join(F.broadcast(size_q), "qid")
+    sized = found.select("qid", "doc_id", F.col("matched").alias("i")).join(size_d, "doc_id").join(size_q, "qid")
     q, d, i = (F.col(c).cast("double") for c in "qdi")
     each = F.array(*[F.struct(F.lit(k).alias("strategy"), F.round(F.coalesce(f(q, d, i), F.lit(0.0)), 6).alias("penalty")) for k, f in PENALTIES.items()])
     return sized.select("qid", "doc_id", F.explode(each).alias("x")).select("qid", "doc_id", "x.*")

@@ -39,7 +39,7 @@ def document_scores(sents: DataFrame, scores: DataFrame) -> DataFrame:
 def relabel(scores: DataFrame, master: DataFrame, strategy: str = "max") -> DataFrame:
     """(doc, label, score): sub-classes (label, master) brought together by max, mean or sum, then scaled to a sum of 1."""
     how = {"max": F.max, "mean": F.avg, "sum": F.sum}[strategy]
-    joined = scores.join(F.broadcast(master), "label").groupBy("doc", F.col("master").alias("label")).agg(how("score").alias("s"))
+    joined = scores.join(broadcast_if_small(master), "label").groupBy("doc", F.col("master").alias("label")).agg(how("score").alias("s"))
     total = F.sum("s").over(Window.partitionBy("doc"))
     return joined.select("doc", "label", F.round(F.coalesce(F.col("s") / F.nullif(total, F.lit(0.0)), F.col("s")), 6).alias("score"))
 
@@ -139,7 +139,19 @@ def split_phrases(tokens: Column, marks: Column, longest: int = 30) -> Column:
     return F.when(F.size(tokens) <= longest, F.array(F.array_join(tokens, " "))).otherwise(F.transform(merged, lambda b: F.array_join(b, " ")))
 
 
-def running_offsets(df: DataFrame, by: str, order: list[str], length: str) -> DataFrame:
-    """``df`` with column start: the sum of the lengths before in the group."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("start", F.coalesce(F.sum(length).over(w), F.lit(0)))
+def running_offsets(df: DataFrame, by: str, order: str, length: str, ranges: int = 64) -> DataFrame:
+    """``df`` with column start: the sum of the lengths before in the group, by a numeric order.
+
+    The order's values are cut into ranges of like size; sums run inside (group, range), and those of the ranges
+    before are added, so a group of any size is spread over tasks.
+    """
+    bounds = df.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.01)
+    number = F.lit(0)
+    for k, bound in enumerate(sorted(set(bounds)), 1):
+        number = F.when(F.col(order) >= bound, k).otherwise(number)
+    rows = df.withColumn("_range", number)
+    inside = Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(by, "_range").agg(F.sum(length).alias("_t"))  # ``ranges`` rows a group at most
+    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    out = rows.withColumn("_inside", F.coalesce(F.sum(length).over(inside), F.lit(0))).join(before, [by, "_range"])
+    return out.withColumn("start", F.col("_inside") + F.col("_before")).select(*df.columns, "start")

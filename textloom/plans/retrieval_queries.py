@@ -82,7 +82,7 @@ def _expand_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _Index(spark, sf_dir).stored()
     wide = R.page(x.found(), size=30).drop("rank")
     size = x.terms.groupBy("qid").agg(F.count(F.lit(1)).alias("size"))
-    again = wide.join(F.broadcast(size), "qid").withColumn("score", F.round(F.col("score") * F.col("matched") / F.col("size") + 1e-9, 6))
+    again = wide.join(size, "qid").withColumn("score", F.round(F.col("score") * F.col("matched") / F.col("size") + 1e-9, 6))
     return R.page(again, size=10).select("qid", "rank", "doc_id", "score")
 
 

@@ -163,7 +163,7 @@ register("kmeans_roles", lambda s, d: V.kmeans_by_role(load(s, d, "relation_name
 
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "doc_embeddings").where("source_doc_id is not null").select("emb_id", "source_doc_id", F.coalesce("position.length", F.lit(0)).cast("bigint").alias("length"))
-    return S.running_offsets(rows, "source_doc_id", ["emb_id"], "length").select("emb_id", "start")
+    return S.running_offsets(rows, "source_doc_id", "emb_id", "length").select("emb_id", "start")
 
 
 register("embedding_offsets", _offsets, 'select emb_id, cast(coalesce(sum(coalesce(position."length", 0)) over (partition by source_doc_id order by emb_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from doc_embeddings where source_doc_id is not null')
@@ -205,7 +205,7 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.document_numbers(targets.union(docs.select("name")), docs)
 
 
-register("document_numbers", _numbers, "with known as (select source_doc_id as name, min(record_id) as number from converted_docs where source_doc_id is not null group by 1), n as (select distinct name from (select target_document as name from eval_queries where target_document is not null union all select name from known)), j as (select name, number from n left join known using (name)) select name, coalesce(number, 10000000 - 1 + row_number() over (partition by number is null order by name)) as number from j")
+register("document_numbers", _numbers, "with known as (select source_doc_id as name, min(record_id) as number from converted_docs where source_doc_id is not null group by 1), n as (select distinct name from (select target_document as name from eval_queries where target_document is not null union all select name from known)), j as (select name, number from n left join known using (name)) select name, coalesce(number, 10000000 - 1 + row_number() over (partition by number is null order by md5(name)[1:2], name)) as number from j")
 
 # text functions over whole tables
 register("email_entities", lambda s, d: load(s, d, "mail_docs").select("mail_id", F.explode(F.regexp_extract_all(F.concat_ws("\n", "content"), F.lit(T.EMAIL), F.lit(0))).alias("email")).groupBy("mail_id", "email").agg(F.count(F.lit(1)).alias("n")), f"select mail_id, email, count(*) as n from (select mail_id, unnest(regexp_extract_all(array_to_string(content, chr(10)), '{T.EMAIL}')) as email from mail_docs) group by all")
