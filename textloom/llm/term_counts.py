@@ -115,10 +115,11 @@ def latest(df: DataFrame, key: str, time: str, row_id: str, value: str) -> DataF
 
 
 def lemma_records(tagged: DataFrame) -> DataFrame:
-    """A record for each tagged document, by its latest run."""
+    """A record for each tagged document, by its latest run; tokens are cut to what is counted before any join."""
     kept = F.filter("content_morphosyntax", lambda t: ~F.coalesce(t["pos"], F.lit("")).isin("NUM", "PUNCT") & (F.trim(F.coalesce(t["lemma"], F.lit(""))) != ""))
     tokens = F.transform(kept, lambda t: F.struct(F.lower(F.trim(t["lemma"])).alias("term"), F.lit(1).cast("bigint").alias("weight"), F.coalesce(t["is_oov"], F.lit(False)).alias("flag")))
-    return latest(tagged, "source_doc_id", "tagged_at", "tagged_id", "content_morphosyntax").select(F.lit("lemma").alias("origin"), F.coalesce(tokens, F.array().cast("array<struct<term:string,weight:bigint,flag:boolean>>")).alias("tokens"))
+    slim = tagged.select("source_doc_id", "tagged_at", "tagged_id", F.coalesce(tokens, F.array().cast("array<struct<term:string,weight:bigint,flag:boolean>>")).alias("tokens"))
+    return latest(slim, "source_doc_id", "tagged_at", "tagged_id", "tokens").select(F.lit("lemma").alias("origin"), "tokens")
 
 
 #: The mark of the role that some names carry.
