@@ -36,9 +36,25 @@ doc_words as (select doc_id, regexp_extract_all(lower("text"), '[\p{L}\p{N}]+')
 doc_grams as (select distinct doc_id, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from doc_words))
 """
 
+#: Groups are cliques, so a row's first is the smallest row that reaches the threshold.
+_VECTORS = """
+usable as (select relation_id, triple_type, [cast(x as double) for x in embedding] as v from relation_names
+  where triple_type is not null and len(embedding) = 64 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+unit as (select relation_id, triple_type, [x / sqrt(list_dot_product(v, v)) for x in v] as u from usable)
+"""
+
+_SEQUENCES = r"""
+rec_words as (select record_id, regexp_extract_all(lower(array_to_string(content, ' ')), '[\p{L}\p{N}]+') as w from converted_docs),
+seqs as (select distinct record_id, array_to_string(w[i:i + 2], ' ') as g from (select record_id, w, unnest(range(1, len(w) - 1)) as i from rec_words)),
+sizes as (select record_id, count(*) as n from seqs group by 1),
+shared as (select a.record_id as record_id_a, b.record_id as record_id_b, count(*) as c from seqs a join seqs b on a.g = b.g and a.record_id < b.record_id group by all)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"with {_VECTORS} select min(a.relation_id) as first_id, b.relation_id from unit a join unit b on a.triple_type = b.triple_type and list_dot_product(a.u, b.u) >= 0.8 group by b.relation_id having min(a.relation_id) < b.relation_id",
+        "p4_found": f"with {_SEQUENCES} select record_id_a, record_id_b from shared join sizes x on x.record_id = record_id_a join sizes y on y.record_id = record_id_b where c / (x.n + y.n - c) >= 0.5",
         "p5_found": f"with {_LEMMAS} select origin, term, mark from marked where mark is not null",
         "p5_frequencies": f"with {_LEMMAS} select origin, term, occurrences, records, total, mark from marked",
         "p7_found": f"with {_COPIES} select kept_id, kg_id as copy_id from kept where kg_id > kept_id",
