@@ -216,7 +216,7 @@ def _term_weights(docs: list[tuple[list[str], set[int]]], seeds: list[list[str]]
         score *= labels[home]
         best = np.where(score.max(axis=1) >= LEAST_SCORE, score.argmax(axis=1), areas)
         counts = np.bincount(flat * (areas + 1) + best[sentence], minlength=v * (areas + 1)).reshape(v, areas + 1).astype(float)
-        area, weight = choose(counts, counts.sum(axis=1), 3, 0.7)
+        area, weight = choose(counts, counts.sum(axis=1), 3, 0.5)
     names = list(vocabulary)
     return {names[t]: (int(area[t]), float(weight[t])) for t in np.flatnonzero(area >= 0)}
 
