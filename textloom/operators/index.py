@@ -23,6 +23,16 @@ def postings(toks: DataFrame, positions: bool = False) -> DataFrame:
     return toks.groupBy("doc_id", "term").agg(*aggregates)
 
 
+def stored_postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, term, tf, dl): postings that carry their document's length, so that scoring needs no join for it.
+
+    The words are made by a generator of their own, and the length is taken before they are spread: otherwise the
+    text would be cut into words again for every row.
+    """
+    once = df.select(F.col(id_col).alias("doc_id"), F.explode(F.array(T.words(F.col(text_col)))).alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
+    return once.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
 def lengths(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, dl) of all documents, without any shuffle."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.size(T.words(F.col(text_col))), F.lit(0)).cast("bigint").alias("dl"))

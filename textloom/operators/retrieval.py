@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import broadcast_if_small
+from ..runtime import BROADCAST_ROWS, broadcast_if_small
 
 K1, B = 1.2, 0.75
 
@@ -28,24 +28,29 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_weights(posts: DataFrame, dl: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, term, w) for postings already cut to wanted terms; statistics are those of all documents."""
+def bm25_weights(posts: DataFrame, dl: DataFrame, k1: float = K1, b: float = B, few_terms: bool = False) -> DataFrame:
+    """(doc_id, term, w) for postings already cut to wanted terms; statistics are those of all documents.
+
+    ``few_terms``: the terms were counted to be few enough for their frequencies to be broadcast.
+    """
     stats = dl.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
     df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = posts.join(df, "term").join(dl, "doc_id").crossJoin(F.broadcast(stats))  # one row
+    own = posts if "dl" in posts.columns else posts.join(dl, "doc_id")
+    joined = own.join(F.broadcast(df) if few_terms else df, "term").crossJoin(F.broadcast(stats))  # one row
     tf = F.col("tf").cast("double")
     return joined.select("doc_id", "term", (idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
 
 
-def wanted(posts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the terms that some query has."""
-    return posts.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
-
-
 def match_or(posts: DataFrame, dl: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, doc_id, score, matched): sum of the weights of the query's terms in the document."""
-    weights = bm25_weights(wanted(posts, terms), dl)
-    return weights.join(broadcast_if_small(terms), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("boost")), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    """(qid, doc_id, score, matched): sum of the weights of the query's terms in the document.
+
+    With stored postings and a query side within the bound, the only shuffle is that of the partial sums.
+    """
+    few = terms.count() <= BROADCAST_ROWS
+    send = F.broadcast if few else lambda df: df
+    near = posts.join(send(terms.select("term").distinct()), "term", "left_semi")
+    weights = bm25_weights(near, dl, few_terms=few)
+    return weights.join(send(terms), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("boost")), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def match_and(found: DataFrame, terms: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import annotate as A
 from ..operators import knowledge as G
 from ..operators import vectors as V
 from ..runtime import load
-from .catalog import register
+from .registry import register
 from .knowledge_queries import _KG, _TAGGED, _matches, _tokens, _triples
 
 _LISTS = " ".join(f"when lower(w) in ({', '.join(repr(x) for x in words)}) then '{pos}'" for pos, words in A.CLOSED.items())

@@ -28,7 +28,7 @@ class Engine:
     def build(documents: DataFrame, id_col: str, text_col: str) -> Engine:
         """Postings and lengths are written once, each query reads them."""
         toks = index.tokens(documents, id_col, text_col)
-        return Engine(documents, id_col, materialize(index.postings(toks), "postings"), materialize(index.lengths(documents, id_col, text_col), "lengths"), toks)
+        return Engine(documents, id_col, materialize(index.stored_postings(documents, id_col, text_col), "postings"), materialize(index.lengths(documents, id_col, text_col), "lengths"), toks)
 
     def search(self, queries: DataFrame, policy: SearchPolicy | None = None, qid: str = "qid", text: str = "query") -> DataFrame:
         """(qid, rank, doc_id, score) and the documents' columns but those excluded; all queries in one job."""

@@ -11,7 +11,7 @@ from ..operators import keywords as K
 from ..operators import knowledge as G
 from ..operators import lexicon as L
 from ..runtime import load
-from .catalog import register
+from .registry import register
 
 _TAGGED = """
 tt as (select tagged_id as doc, i - 1 as pos_no, lower(trim(m[i].lemma)) as lemma, m[i].text as text, m[i].pos as pos, coalesce(m[i].is_oov, false) as is_oov, coalesce(m[i].is_sent_start, false) as st

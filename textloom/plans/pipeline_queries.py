@@ -16,7 +16,7 @@ from ..runtime import checkpoint_dir, load, materialize
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import pipelines as P
-from .catalog import register
+from .registry import register
 from .fixtures import TREEBANK
 from .knowledge_queries import _TAGGED
 

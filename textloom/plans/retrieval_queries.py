@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import index as I
 from ..operators import retrieval as R
 from ..runtime import load, materialize
-from .catalog import register
+from .registry import register
 
 _TOKENS = r"""
 words as (select doc_id, regexp_extract_all(lower("text"), '[\p{L}\p{N}]+') as w from documents),
@@ -42,7 +42,7 @@ class _Index:
         self.terms = R.query_terms(self.queries)
 
     def stored(self) -> _Index:
-        self.posts = materialize(self.posts, "postings")
+        self.posts = materialize(I.stored_postings(self.docs, "doc_id", "text"), "postings")
         self.dl = materialize(self.dl, "lengths")
         return self
 

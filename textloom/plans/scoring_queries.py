@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..operators import vectors as V
 from ..runtime import load
-from .catalog import register
+from .registry import register
 from .retrieval_queries import _BM25, _STOP, _TOP, _Index
 
 _SENTS = r"""
