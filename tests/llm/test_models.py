@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import mail_bodies, personal_data, similar_vectors, similarity_groups, subject_areas
 
@@ -213,6 +214,15 @@ def test_found_and_redacted_columns(spark):
     assert personal_data.find(df.where("false"), "record", *personal_data.record_texts()).count() == 0
 
 
+def test_given_names_come_from_all_records(spark):
+    rows = list(enumerate([*people(), ["We met Zorvel Tespor today."], ["Then a member, Zorvel Kanim, spoke."]]))
+    df = spark.createDataFrame(rows, "record bigint, texts array<string>").repartition(3, "record")
+    model = personal_data.fit(df, F.col("texts"), records=4)
+    assert model.given == personal_data.given_names([t for _, r in rows for t in r]) and {"Zorvel", *NAMES} <= model.given
+    found = personal_data.find(df, "record", F.transform("texts", lambda t: F.lit("content")), F.col("texts"), model).collect()
+    assert {"Zorvel Tespor", "Zorvel Kanim"} <= {r["found"] for r in found if r["kind"] == "person"}
+
+
 # subject areas
 
 WORDS = {"law": ["court", "statute", "verdict", "clause"], "sport": ["league", "coach", "penalty", "stadium"]}

@@ -8,7 +8,7 @@ list of given names learned from the texts); loopy message passing over chain an
 and a candidate becomes an entity if its tokens believe in its kind rather than in none.
 
 The field is fitted by pseudo-likelihood on at most ``FIT_RECORDS`` rows, drawn by chance, with labels
-from the contexts listed in ``CUES``; given names come from the same rows.  Every record is searched as
+from the contexts listed in ``CUES``; given names are counted over all rows.  Every record is searched as
 a whole: lines without a candidate hold no entity whatever their labels are and are not labelled.
 
 Defined results: null and empty texts give nothing and stay as they are; an entity found twice in a
@@ -18,7 +18,7 @@ are searched each; empty tables give nothing.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIT_RECORDS = 5000
+SENT = 1 << 18
 SWEEPS, DAMPING = 6, 0.3
 SLOTS = 1 << 14
 KINDS = ("none", "email", "phone", "id_number", "address", "person")
@@ -71,25 +72,29 @@ _TOKEN = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
 CUES = regex.compile(r"(?i)(?:\b(?:part|invoice|version|order|figure|chapter|item|build|ref(?:erence)?|coordinates|article)\b(?: (?:no|number|nr)\b)?[.:#]*|\b(?:part|item|order) no\.) *$")
 
 
-def given_names(texts: list[str], least: int = 2) -> set[str]:
-    """Capitalised words followed by ``least`` or more different family-like words, more often than by the words of firms and places."""
-    after: dict[str, set[str]] = defaultdict(set)
-    firm: dict[str, set[str]] = defaultdict(set)
-    common: set[str] = set()
-    inside: set[str] = set()  # seen where no sentence begins
+def name_evidence(texts: list[str]) -> set[tuple[str, str, str]]:
+    """(word, kind, other) for given names: ``after`` and ``firm`` with the word that follows, ``inside``: where no sentence begins, ``common``: in small letters."""
+    out: set[tuple[str, str, str]] = set()
     for text in texts:
-        common.update(w.title() for w in _LOWER.findall(text))
+        out.update((w.title(), "common", "") for w in _LOWER.findall(text))
         for m in PAIR.finditer(text, overlapped=True):
             if m[1] and "-" not in m[1]:
-                (firm if m[2] in NOT_FAMILY else after)[m[1]].add(m[2])
+                out.add((m[1], "firm" if m[2] in NOT_FAMILY else "after", m[2]))
                 if _INSIDE.search(text[max(0, m.start() - 2) : m.start()]) or (m.start() == 0 and m.end() == len(text)):
-                    inside.add(m[1])
+                    out.add((m[1], "inside", ""))
         for form, given, family in ((PAIR, (1, 3), (2, 4)), (TURNED, (2, 4), (1, 3))):
             # a text that is a pair and nothing else names something
             if (m := form.fullmatch(text)) and "-" not in (name := (m[given[0]] or m[given[1]]).title()) and (m[family[0]] or m[family[1]]).title() not in NOT_FAMILY:
-                after[name].update([(m[family[0]] or m[family[1]]).title(), ""])
-                inside.add(name)
-    return {w for w, s in after.items() if len(s) >= least and len(s) > len(firm[w]) and w in inside and w not in common and w not in TITLES}
+                out.update([(name, "after", (m[family[0]] or m[family[1]]).title()), (name, "after", ""), (name, "inside", "")])
+    return out
+
+
+def given_names(texts: list[str], least: int = 2) -> set[str]:
+    """Capitalised words followed by ``least`` or more different family-like words, more often than by the words of firms and places."""
+    n: dict[str, Counter[str]] = defaultdict(Counter)
+    for word, kind, _ in name_evidence(texts):
+        n[word][kind] += 1
+    return {w for w, c in n.items() if c["after"] >= least and c["after"] > c["firm"] and c["inside"] and not c["common"] and w not in TITLES}
 
 
 def candidates(text: str, given: set[str]) -> list[tuple[int, int, int]]:
@@ -198,8 +203,10 @@ class SkipChain:
         self.weights, self.chain, self.skip, self.given = weights, chain, skip, given
 
     @staticmethod
-    def fit(records: list[list[str]], rounds: int = 40, rate: float = 0.5) -> SkipChain:
-        given = given_names([t for r in records for t in r if t])
+    def fit(records: list[list[str]], rounds: int = 40, rate: float = 0.5, given: set[str] | None = None) -> SkipChain:
+        """``given``: names counted over more than ``records``; by default those of ``records``."""
+        if given is None:
+            given = given_names([t for r in records for t in r if t])
         nodes, n = Nodes(), 0
         for texts in records:
             add_record(nodes, texts, n, given)
@@ -275,12 +282,35 @@ class SkipChain:
         return out
 
 
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sent: set[tuple[str, str, str]] = set()  # only saves shuffling; emptied when large
+    for b in batches:
+        for at in range(0, len(b), 500):
+            texts = {t for r in b.column(0).slice(at, 500).to_pylist() for t in r or [] if t}
+            new = name_evidence(list(texts)) - sent
+            if len(sent) > SENT:
+                sent.clear()
+            sent |= new
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*new, strict=True)], names=["word", "kind", "other"])
+
+
+def all_given_names(df: DataFrame, texts: Column, least: int = 2) -> set[str]:
+    """``given_names`` of all rows' texts, counted in the cluster; only the names come to the driver."""
+    seen = df.select(texts.alias("t")).mapInArrow(_evidence, "word string, kind string, other string").dropDuplicates()
+    n = lambda k: F.sum((F.col("kind") == k).cast("long"))
+    counted = seen.groupBy("word").agg(*[n(k).alias(k) for k in ("after", "firm", "inside", "common")])
+    kept = counted.where((F.col("after") >= least) & (F.col("after") > F.col("firm")) & (F.col("inside") > 0) & (F.col("common") == 0))
+    return {r["word"] for r in kept.select("word").collect()} - TITLES
+
+
 def fit(df: DataFrame, texts: Column, records: int = FIT_RECORDS) -> SkipChain:
-    """``texts``: array of strings of a record."""
+    """``texts``: array of strings of a record; weights from at most ``records`` rows, given names from all."""
     n = max(df.count(), 1)
     drawn = df.select(texts.alias("t")).where(F.size("t") > 0)
     drawn = drawn if n <= records else drawn.sample(min(1.0, 1.2 * records / n), seed=3)
-    return SkipChain.fit([[t or "" for t in r["t"]] for r in drawn.limit(records).collect()])  # at most ``records`` rows
+    rows = [[t or "" for t in r["t"]] for r in drawn.limit(records).collect()]  # at most ``records`` rows
+    return SkipChain.fit(rows, given=all_given_names(df, texts))
 
 
 def _finder(model_b):
