@@ -81,6 +81,13 @@ def test_graph(spark):
     assert units == {("subject", "a"): 3, ("relation", "p"): 4, ("object", "b"): 3, ("object", "c"): 1}
 
 
+def test_overlap_counts_triples_of_many_documents(spark):
+    rows = spark.createDataFrame([(d, "a", "p", "b") for d in range(60)] + [(d, "c", "p", "b") for d in (3, 7)], "doc bigint, s string, p string, o string")
+    want = {(a, b): 1 + ((a, b) == (3, 7)) for a in range(60) for b in range(a + 1, 60)}
+    for found in (G.graph_overlap(rows), G.graph_overlap(rows, block=7)):
+        assert {(r["doc_a"], r["doc_b"]): r["shared"] for r in found.collect()} == want
+
+
 def test_longest_match_takes_the_longest_from_left(spark):
     lex = L.build(spark.createDataFrame([("New York", "city"), ("new york times", "paper"), ("times", "word"), ("!!", "x"), (None, "y")], "w string, l string"), "w", "l")
     toks = spark.createDataFrame([(1, i, w) for i, w in enumerate("the new york times and new york".split())], "doc_id bigint, pos int, term string")

@@ -51,16 +51,18 @@ def shared_triples(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("s", "p", "o").intersect(b.select("s", "p", "o"))
 
 
-def graph_overlap(rows: DataFrame, most_docs: int = 50) -> DataFrame:
+def graph_overlap(rows: DataFrame, block: int = 1000) -> DataFrame:
     """(doc_a, doc_b, shared): documents by the number of triples they have in common.
 
-    Triples of more than ``most_docs`` documents say nothing of two documents; they are left out by their exact count.
+    Every triple counts, however many documents have it; ``block`` only divides the pairs of a common one among tasks.
     """
     own = distinct_triples(rows)
     key = own.select("doc", F.sha2(F.concat_ws("\u0001", "s", "p", "o"), 256).alias("k"))
-    rare = key.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most_docs)).select("k")
-    kept = key.join(rare, "k")
-    return kept.select("k", F.col("doc").alias("doc_a")).join(kept.select("k", F.col("doc").alias("doc_b")), "k").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("shared"))
+    shared = key.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    kept = key.join(shared, "k")
+    a = kept.select("k", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("doc_a"))
+    b = kept.select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("doc_b"))
+    return a.join(b, ["k", "part"]).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def match(df: DataFrame, id_col: str, kg: str = "kg", **roles: str) -> DataFrame:
