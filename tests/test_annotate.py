@@ -77,3 +77,16 @@ def test_engine(spark):
     assert engine.evaluate(queries, qrels).where("k = 10").first()["mrr"] == 1.0
     assert engine.expand(queries, qrels).count() >= 2
     assert engine.see_also(docs.selectExpr("id as doc_id")).count() >= 0
+
+
+def test_all_words_of_a_query_are_searched_unless_cut(spark, tmp_path):
+    from textloom.plans import retrieval_queries
+
+    docs = spark.createDataFrame([(1, "how many units of power does duviva own"), (2, "how many units there are"), (3, "own power")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(7, "How many units of power does Duviva own?")], "qid bigint, query string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    queries.write.parquet(str(tmp_path / "eval_queries.parquet"))
+    assert [r["doc_id"] for r in retrieval_queries._match_and(spark, str(tmp_path)).collect()] == [1]
+    engine = Engine.build(docs, "doc_id", "text")
+    assert {r["doc_id"] for r in engine.search(queries, SearchPolicy()).collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in engine.search(queries, SearchPolicy().with_text({"cut_query": "3"})).collect()} == {1, 2}

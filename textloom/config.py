@@ -21,6 +21,7 @@ class SearchPolicy:
     widest_term: float = 0.4
     least_part: float = 0.25
     slop: int = 0
+    cut_query: int = 0  # first words of a query that are searched; 0: all
     excludes: tuple[str, ...] = ()
     disabled: tuple[str, ...] = ()
 

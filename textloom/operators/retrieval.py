@@ -18,9 +18,10 @@ from ..runtime import BROADCAST_ROWS, broadcast_if_small
 K1, B = 1.2, 0.75
 
 
-def query_terms(queries: DataFrame, qid: str = "qid", text: str = "query", terms: Column | None = None) -> DataFrame:
-    """(qid, term, boost): distinct terms, boost = occurrences in the query."""
-    w = queries.select(F.col(qid).alias("qid"), F.explode(terms if terms is not None else T.words(F.col(text))).alias("term"))
+def query_terms(queries: DataFrame, qid: str = "qid", text: str = "query", terms: Column | None = None, cut: int = 0) -> DataFrame:
+    """(qid, term, boost): distinct terms, boost = occurrences in the query, or in its first ``cut`` words."""
+    words = terms if terms is not None else T.words(F.col(text))
+    w = queries.select(F.col(qid).alias("qid"), F.explode(F.slice(words, 1, cut) if cut > 0 else words).alias("term"))
     return w.groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("boost"))
 
 

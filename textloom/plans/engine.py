@@ -33,7 +33,7 @@ class Engine:
     def search(self, queries: DataFrame, policy: SearchPolicy | None = None, qid: str = "qid", text: str = "query") -> DataFrame:
         """(qid, rank, doc_id, score) and the documents' columns but those excluded; all queries in one job."""
         policy = policy or SearchPolicy()
-        terms = retrieval.query_terms(queries, qid, text)
+        terms = retrieval.query_terms(queries, qid, text, cut=policy.cut_query)
         found = retrieval.match_or(self.postings, self.lengths, terms)
         wide = retrieval.page(found, policy.start + policy.size + policy.expand_results)
         if policy.penalty != "no-normalization":

@@ -64,8 +64,9 @@ register("match_or", lambda s, d: _Index(s, d).stored().found().groupBy("qid").a
 
 
 def _match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all of a query's words but stop words."""
     x = _Index(spark, sf_dir).stored()
-    terms = R.query_terms(x.queries, terms=F.slice(T.analyze(F.col("query"), T.STOP_WORDS), 1, 3))
+    terms = R.query_terms(x.queries, terms=T.analyze(F.col("query"), T.STOP_WORDS))
     return R.match_and(R.match_or(x.posts, x.dl, terms), terms).select("qid", "doc_id", "score")
 
 
