@@ -61,6 +61,15 @@ def test_windows(spark):
     assert sorted(r["n"] for r in P.sessions(e, "ts", "k").collect()) == [1, 2]
 
 
+def test_event_tags_over_the_whole_document(spark, tmp_path):
+    from textloom.plans import pipeline_queries
+
+    rows = [(1, "a", (0, 2)), (2, "a", (45, 3)), (3, "a", (38, 5)), (4, None, (1, 1)), (5, "a", None), (6, "b", (0, 60)), (7, "a", (None, 3))]
+    spark.createDataFrame(rows, "emb_id bigint, source_doc_id string, position struct<start:int,length:int>").write.parquet(str(tmp_path / "doc_embeddings.parquet"))
+    got = {r["emb_id"]: r["tags"] for r in pipeline_queries._event_tags(spark, str(tmp_path)).collect()}
+    assert got == {1: "EE" + "O" * 46, 2: "O" * 45 + "EEE", 3: "O" * 38 + "E" * 5 + "O" * 5, 4: "OE", 6: "E" * 60, 7: "O" * 48}
+
+
 def test_queries_without_the_removable_part():
     import __spark_entry__ as entry
 

@@ -23,6 +23,15 @@ def tags_at(length: Column, start: Column, end: Column, tag: Column) -> Column:
     return F.when(length <= 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when((i >= start) & (i < end), tag).otherwise("O")))
 
 
+def tag_line(length: Column, start: Column, end: Column, tag: str) -> Column:
+    """``tags_at`` as one string, for tags of one letter: three runs, however long the text is."""
+    size = F.greatest(length, F.lit(0))
+    known = start.isNotNull() & end.isNotNull()
+    first = F.when(known, F.least(F.greatest(start, F.lit(0)), size)).otherwise(size)
+    last = F.when(known, F.least(F.greatest(end, first), size)).otherwise(size)
+    return F.concat(*[F.repeat(F.lit(t), n.cast("int")) for t, n in (("O", first), (tag, last - first), ("O", size - last))])
+
+
 def map_labels(df: DataFrame, label: str, names: dict[str, str | None]) -> DataFrame:
     """Rows with the label's short name; labels mapped to nothing are dropped, unknown ones stay."""
     pairs = [x for k, v in names.items() for x in (F.lit(k), F.lit(v).cast("string"))]

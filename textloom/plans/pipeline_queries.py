@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import corpora as C
 from ..operators import index as I
 from ..operators import keywords as K
-from ..runtime import checkpoint_dir, load, materialize
+from ..runtime import checkpoint_dir, load, materialize, parallelism
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import pipelines as P
@@ -75,10 +75,12 @@ register("conll_mask", lambda s, d: load(s, d, "tagged_docs").select("tagged_id"
 
 
 def _event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The block's place tagged over the first 40 tokens of its document."""
-    e = load(spark, sf_dir, "doc_embeddings").where("position is not null")
-    tags = C.tags_at(F.lit(40), F.col("position.start"), F.col("position.start") + F.col("position.length"), F.lit("E"))
-    return e.select("emb_id", F.array_join(tags, "").alias("tags"))
+    """The block's place tagged over its whole document, which ends with its last block."""
+    e = load(spark, sf_dir, "doc_embeddings").where("position is not null").select("emb_id", "source_doc_id", F.col("position.start").alias("start"), (F.col("position.start") + F.col("position.length")).alias("end"))
+    lengths = e.where("source_doc_id is not null").groupBy("source_doc_id").agg(F.max("end").alias("length"))
+    # the lines of a document with many blocks are long: they are made after its rows are spread
+    spread = e.join(lengths, "source_doc_id", "left").repartition(parallelism(spark), "emb_id")
+    return spread.select("emb_id", C.tag_line(F.coalesce("length", "end", F.lit(0)), F.col("start"), F.col("end"), "E").alias("tags"))
 
 
 register("event_tags", _event_tags, """select emb_id, coalesce(array_to_string([case when i >= position.start and i < position.start + position."length" then 'E' else 'O' end for i in range(0, 40)], ''), '') as tags from doc_embeddings where position is not null""")
