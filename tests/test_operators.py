@@ -81,6 +81,20 @@ def test_graph(spark):
     assert units == {("subject", "a"): 3, ("relation", "p"): 4, ("object", "b"): 3, ("object", "c"): 1}
 
 
+def test_units_of_placed_triples_and_keywords(spark, tmp_path):
+    from textloom.plans import catalog
+
+    role = "struct<content:array<string>,lemma_content:array<string>,positions:array<int>,class:int>"
+    part = lambda text, *at: ([text], None, list(at) if at else None, None)
+    kg = [(part("a", 1), part("p", 2), part("b", 3), None, None), (part("a", 1), part("q", -1), part("c", 3), None, None), (part("x", -1), part("p", 2), part("b", 3), None, None), (part("d"), part("p", -1, 2), part("b", 4), None, None)]
+    spark.createDataFrame([(1, kg)], f"record_id bigint, kg array<struct<subject:{role},property:{role},value:{role},field_type:string,confidence:double>>").write.parquet(str(tmp_path / "converted_docs.parquet"))
+    token = lambda w, pos: (pos, w, w, False, False, 0)
+    tagged = [(n, [token("wind", "NOUN"), token("farm", "NOUN"), token("the", "DET")]) for n in (1, 2)]
+    spark.createDataFrame(tagged, "tagged_id bigint, content_morphosyntax array<struct<pos:string,lemma:string,text:string,is_oov:boolean,is_sent_start:boolean,position:int>>").write.parquet(str(tmp_path / "tagged_docs.parquet"))
+    got = {tuple(r) for r in catalog.queries()["relation_units"](spark, str(tmp_path)).select("triple_type", "sentence", "count", "n_contexts").collect()}
+    assert got == {("subject", "a", 1, 1), ("subject", "d", 1, 1), ("relation", "p", 2, 2), ("object", "b", 2, 2), ("keyword", "wind farm", 2, 1)}
+
+
 def test_overlap_counts_triples_of_many_documents(spark):
     rows = spark.createDataFrame([(d, "a", "p", "b") for d in range(60)] + [(d, "c", "p", "b") for d in (3, 7)], "doc bigint, s string, p string, o string")
     want = {(a, b): 1 + ((a, b) == (3, 7)) for a in range(60) for b in range(a + 1, 60)}

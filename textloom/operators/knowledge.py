@@ -17,9 +17,15 @@ ROLES = ("subject", "property", "value")
 _TRIPLE = "array<struct<s:string,p:string,o:string>>"
 
 
-def triples(df: DataFrame, id_col: str, kg: str = "kg", lemma: bool = False) -> DataFrame:
-    """(doc, no, s, p, o, cs, cp, co): a row for each triple with the classes of its roles."""
+def triples(df: DataFrame, id_col: str, kg: str = "kg", lemma: bool = False, placed: bool = False) -> DataFrame:
+    """(doc, no, s, p, o, cs, cp, co): a row for each triple with the classes of its roles.
+
+    ``placed``: without triples that have the positions [-1], which stand for none, in any role.
+    """
     rows = df.select(F.col(id_col).alias("doc"), F.posexplode(kg).alias("no", "t"))
+    if placed:
+        for r in ROLES:
+            rows = rows.where(~F.coalesce(F.col(f"t.{r}.positions") == F.array(F.lit(-1)), F.lit(False)))
     field = "lemma_content" if lemma else "content"
     text = [F.coalesce(F.array_join(f"t.{r}.{field}", " "), F.lit("")).alias(x) for r, x in zip(ROLES, "spo", strict=True)]
     classes = [F.coalesce(F.col(f"t.{r}.class"), F.lit(-1)).alias(f"c{x}") for r, x in zip(ROLES, "spo", strict=True)]
@@ -108,6 +114,11 @@ def relation_units(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(spread).alias("u")).select("u.*").where("sentence <> ''").groupBy("triple_type", "sentence").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("context").alias("n_contexts"))
 
 
+def keyword_units(phrases: DataFrame) -> DataFrame:
+    """Units of (doc, phrase): how often each keyword was taken; keywords have one context."""
+    return phrases.where("phrase <> ''").groupBy(F.lit("keyword").alias("triple_type"), F.col("phrase").alias("sentence")).agg(F.count(F.lit(1)).alias("count"), F.lit(1).cast("long").alias("n_contexts"))
+
+
 def add_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc, no, cs, cp, co) by the classes (triple_type, sentence, class) of role texts, -1 where there is none."""
     out = rows.select("doc", "no", "s", "p", "o")

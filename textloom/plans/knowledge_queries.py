@@ -81,7 +81,15 @@ register(
     "semantic_boosts", lambda s, d: G.scaled_boosts(G.role_groupings(_triples(s, d)), "grouping", skip=3),
     f"with {_KG}, g as (select grouping, key, count(*) as n from ({_GROUPED}) group by all), q as (select *, row_number() over (partition by grouping order by n desc, key) as r from g qualify r > 3) select grouping, key, n, cast(case when max(n) over w = min(n) over w then 1 else floor(1 + (n - min(n) over w) * 9 / (max(n) over w - min(n) over w) + 1e-9) end as int) as boost from q window w as (partition by grouping)",
 )
-register("relation_units", lambda s, d: G.relation_units(_triples(s, d)), f"with {_KG}, u as (select 'subject' as triple_type, s as sentence, p || '#' || o as c from tr union all select 'relation', p, s || '#' || o from tr union all select 'object', o, s || '#' || p from tr) select triple_type, sentence, count(*) as count, count(distinct c) as n_contexts from u where sentence <> '' group by all")
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the triples that have a place, and of keywords."""
+    rows = G.triples(load(spark, sf_dir, "converted_docs"), "record_id", placed=True)
+    return G.relation_units(rows).unionByName(G.keyword_units(K.candidate_phrases(_tokens(spark, sf_dir))))
+
+
+register("relation_units", _units, f"with {_KG}, u as (select 'subject' as triple_type, s as sentence, p || '#' || o as c from tr union all select 'relation', p, s || '#' || o from tr union all select 'object', o, s || '#' || p from tr) select triple_type, sentence, count(*) as count, count(distinct c) as n_contexts from u where sentence <> '' group by all")
 register(
     "class_stats_top10", lambda s, d: G.class_statistics(_triples(s, d)),
     f"with {_KG}, u as (select 'subject' as role, cs as class, s as text from tr union all select 'property', cp, p from tr union all select 'value', co, o from tr), c as (select role, class, text, count(*) as c from u group by all), r as (select *, row_number() over (partition by role, class order by c desc, text) as r from c) select role, class, cast(sum(c) as bigint) as n, string_agg(text, ' ## ' order by r) filter (where r <= 10) as top from r group by role, class",
