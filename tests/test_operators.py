@@ -182,6 +182,12 @@ def test_empty_tables(spark):
     assert I.field_stats(posts).first()["sum_ttf"] == 0
 
 
+def test_results_are_described(spark):
+    rows = spark.createDataFrame([(q, 10, x) for q, x in enumerate((0.0, 1.0, 2.0, 5.0))], "qid bigint, k int, map double")
+    got = E.described(rows).first().asDict()
+    assert got == {"k": 10, "metric": "map", "count": 4, "mean": 2.0, "std": pytest.approx(math.sqrt(14 / 3)), "min": 0.0, "q1": 0.75, "median": 1.5, "q3": 2.75, "max": 5.0}
+
+
 def test_policy():
     policy = from_environment("X_", {"X_SIZE": "5", "X_NORMALIZE": "no", "X_EXCLUDES": "a, b", "Y_SIZE": "9"})
     assert (policy.size, policy.normalize, policy.excludes) == (5, False, ("a", "b"))

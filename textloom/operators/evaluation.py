@@ -51,6 +51,14 @@ def overall(per_query: DataFrame) -> DataFrame:
     return per_query.groupBy("k").agg(*[F.round(F.avg(c), 6).alias(c) for c in per_query.columns if c not in ("qid", "k")])
 
 
+def described(per_query: DataFrame) -> DataFrame:
+    """(k, metric, count, mean, std, min, q1, median, q3, max) of every metric over all queries for each depth."""
+    names = [c for c in per_query.columns if c not in ("qid", "k")]
+    long = per_query.select("k", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in names])).alias("m")).select("k", "m.*")
+    quartiles = [F.percentile("x", p).alias(c) for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    return long.groupBy("k", "metric").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), *quartiles, F.max("x").alias("max"))
+
+
 def document_numbers(names: DataFrame, known: DataFrame, first_new: int = 10_000_000) -> DataFrame:
     """(name, number): numbers of known names (name, number), further ones from ``first_new`` on.
 
