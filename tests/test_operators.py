@@ -74,7 +74,7 @@ def test_keywords(spark):
 def test_graph(spark):
     rows = spark.createDataFrame([(1, "a", "p", "b", 1, 2, 3), (1, "a", "p", "b", 1, 2, 3), (2, "a", "p", "b", 1, 2, 3), (2, "", "p", "c", -1, 2, 4)], "doc bigint, s string, p string, o string, cs int, cp int, co int")
     assert G.distinct_triples(rows).count() == 3
-    assert [tuple(r) for r in G.graph_overlap(rows).collect()] == [(1, 2, 1)]
+    assert {tuple(r) for r in G.graph_overlap(rows, rows).collect()} == {(1, 2, 1), (2, 1, 1)}
     groups = {(r["grouping"], r["key"]): r["n"] for r in G.role_groupings(rows).collect()}
     assert groups["spo", "#1|#2|#3"] == 3 and groups["s", "#1|p|b"] == 3 and len({g for g, _ in groups}) == 7
     units = {(r["triple_type"], r["sentence"]): r["count"] for r in G.relation_units(rows).collect()}
@@ -97,9 +97,10 @@ def test_units_of_placed_triples_and_keywords(spark, tmp_path):
 
 def test_overlap_counts_triples_of_many_documents(spark):
     rows = spark.createDataFrame([(d, "a", "p", "b") for d in range(60)] + [(d, "c", "p", "b") for d in (3, 7)], "doc bigint, s string, p string, o string")
-    want = {(a, b): 1 + ((a, b) == (3, 7)) for a in range(60) for b in range(a + 1, 60)}
-    for found in (G.graph_overlap(rows), G.graph_overlap(rows, block=7)):
-        assert {(r["doc_a"], r["doc_b"]): r["shared"] for r in found.collect()} == want
+    want = {(q, d): 1 + ({q, d} == {3, 7}) for q in (3, 20) for d in range(60) if d != q}
+    queries = spark.createDataFrame([(3,), (20,), (20,), (None,), (99,)], "doc bigint")
+    for found in (G.graph_overlap(rows, queries), G.graph_overlap(rows, queries, block=7)):
+        assert {(r["query"], r["doc"]): r["shared"] for r in found.collect()} == want
 
 
 def test_longest_match_takes_the_longest_from_left(spark):

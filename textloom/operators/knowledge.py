@@ -57,18 +57,26 @@ def shared_triples(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("s", "p", "o").intersect(b.select("s", "p", "o"))
 
 
-def graph_overlap(rows: DataFrame, block: int = 1000) -> DataFrame:
-    """(doc_a, doc_b, shared): documents by the number of triples they have in common.
+def joined_triples(graphs: list[DataFrame]) -> DataFrame:
+    """Triples of any of the graphs, each once."""
+    out = graphs[0].select("s", "p", "o")
+    for g in graphs[1:]:
+        out = out.unionByName(g.select("s", "p", "o"))
+    return out.dropDuplicates()
 
-    Every triple counts, however many documents have it; ``block`` only divides the pairs of a common one among tasks.
+
+def graph_overlap(rows: DataFrame, queries: DataFrame, block: int = 1000) -> DataFrame:
+    """(query, doc, shared): documents by the number of triples they have in common with each of ``queries`` (doc).
+
+    Every triple counts, however many documents have it; a common one's documents are divided among tasks in blocks.
     """
     own = distinct_triples(rows)
     key = own.select("doc", F.sha2(F.concat_ws("\u0001", "s", "p", "o"), 256).alias("k"))
-    shared = key.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    kept = key.join(shared, "k")
-    a = kept.select("k", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("doc_a"))
-    b = kept.select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("doc_b"))
-    return a.join(b, ["k", "part"]).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("shared"))
+    asked = key.join(queries.select("doc").distinct(), "doc", "left_semi").select("k", F.col("doc").alias("query"))
+    parts = key.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select("k", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    sides = asked.join(parts, "k").select("k", "query", F.col("parts"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    held = key.join(parts, "k").select("k", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "doc")
+    return sides.join(held, ["k", "part"]).where("query <> doc").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def match(df: DataFrame, id_col: str, kg: str = "kg", **roles: str) -> DataFrame:

@@ -62,18 +62,27 @@ register("kg_triples", lambda s, d: _triples(s, d).drop("confidence"), f"with {_
 register("kg_dedup", lambda s, d: G.distinct_triples(_triples(s, d)), f"with {_KG} select distinct doc, s, p, o from tr")
 register("kg_by_field", lambda s, d: _triples(s, d).groupBy("field_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("docs")), f"with {_KG} select field_type, count(*) as n, count(distinct doc) as docs from tr group by 1")
 register("kg_nested_match", lambda s, d: G.match(load(s, d, "converted_docs"), "record_id", value="contact"), f"with {_KG} select distinct doc from tr where lower(o) = 'contact'")
-register("kg_overlap", lambda s, d: G.graph_overlap(_triples(s, d)), f"with {_KG}, u as (select distinct doc, s, p, o from tr), r as (select s, p, o from u group by all having count(*) between 2 and 50) select a.doc as doc_a, b.doc as doc_b, count(*) as shared from u a join r using (s, p, o) join u b using (s, p, o) where a.doc < b.doc group by all")
+
+
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set of queries of all searches, ids divisible by 20, against all documents."""
+    rows = _triples(spark, sf_dir)
+    return G.graph_overlap(rows, rows.where(F.col("doc") % 20 == 0))
+
+
+register("kg_overlap", _overlap, f"with {_KG}, u as (select distinct doc, s, p, o from tr) select a.doc as query, b.doc, count(*) as shared from u a join u b using (s, p, o) where a.doc % 20 = 0 and a.doc <> b.doc group by all")
 
 
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples that the documents of both sources hold."""
     docs = load(spark, sf_dir, "converted_docs")
-    mails = load(spark, sf_dir, "mail_docs")
-    return G.shared_triples(G.triples(docs, "record_id").select(F.lit("").alias("s"), "p", "o"), G.triples(mails, "mail_id").select(F.lit("").alias("s"), "p", "o"))
+    return G.shared_triples(*(G.triples(docs.where(F.col("data_source") == x), "record_id") for x in ("converter-service", "batch")))
 
 
 _MK = _KG.replace("k as (", "k2 as (").replace("record_id", "mail_id").replace("converted_docs", "mail_docs").replace("tr as (", "tr2 as (").replace("from k)", "from k2)")
-register("kg_intersect", _shared, f"with {_KG}, {_MK} select '' as s, p, o from tr intersect select '', p, o from tr2")
-register("kg_union", lambda s, d: G.triples(load(s, d, "converted_docs"), "record_id").select("s", "p", "o").unionByName(G.triples(load(s, d, "mail_docs"), "mail_id").select("s", "p", "o")).groupBy("p").agg(F.count(F.lit(1)).alias("n")), f"with {_KG}, {_MK} select p, count(*) as n from (select p from tr union all select p from tr2) group by 1")
+_OF_SOURCE = "select s, p, o from tr join converted_docs on record_id = doc where data_source = '{0}'"
+register("kg_intersect", _shared, f"with {_KG} {_OF_SOURCE.format('converter-service')} intersect {_OF_SOURCE.format('batch')}")
+register("kg_union", lambda s, d: G.joined_triples([G.triples(load(s, d, "converted_docs"), "record_id"), G.triples(load(s, d, "mail_docs"), "mail_id")]), f"with {_KG}, {_MK} select distinct s, p, o from tr union select s, p, o from tr2")
 _SETS = ["spo", "sp", "so", "po", "s", "p", "o"]
 _GROUPED = " union all ".join("select '" + g + "' as grouping, " + " || '|' || ".join((f"'#' || c{x}" if x in g else x) for x in "spo") + " as key from tr" for g in _SETS)
 register("semantic_role_groupings", lambda s, d: G.role_groupings(_triples(s, d)), f"with {_KG} select grouping, key, count(*) as n from ({_GROUPED}) group by all")
@@ -89,7 +98,11 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.relation_units(rows).unionByName(G.keyword_units(K.candidate_phrases(_tokens(spark, sf_dir))))
 
 
-register("relation_units", _units, f"with {_KG}, u as (select 'subject' as triple_type, s as sentence, p || '#' || o as c from tr union all select 'relation', p, s || '#' || o from tr union all select 'object', o, s || '#' || p from tr) select triple_type, sentence, count(*) as count, count(distinct c) as n_contexts from u where sentence <> '' group by all")
+_NO_PLACE = " and ".join(f"coalesce(t.{r}.positions <> [-1], true)" for r in ("subject", "property", '"value"'))
+register("relation_units", _units, f"""with {_PHRASES}, {_KG.replace("from k)", f"from k where {_NO_PLACE})")},
+u as (select 'subject' as triple_type, s as sentence, p || '#' || o as c from tr union all select 'relation', p, s || '#' || o from tr union all select 'object', o, s || '#' || p from tr)
+select triple_type, sentence, count(*) as count, count(distinct c) as n_contexts from u where sentence <> '' group by all
+union all select 'keyword', phrase, count(*), 1 from ph where phrase <> '' group by phrase""")
 register(
     "class_stats_top10", lambda s, d: G.class_statistics(_triples(s, d)),
     f"with {_KG}, u as (select 'subject' as role, cs as class, s as text from tr union all select 'property', cp, p from tr union all select 'value', co, o from tr), c as (select role, class, text, count(*) as c from u group by all), r as (select *, row_number() over (partition by role, class order by c desc, text) as r from c) select role, class, cast(sum(c) as bigint) as n, string_agg(text, ' ## ' order by r) filter (where r <= 10) as top from r group by role, class",

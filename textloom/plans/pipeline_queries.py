@@ -83,7 +83,11 @@ def _event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select("emb_id", C.tag_line(F.coalesce("length", "end", F.lit(0)), F.col("start"), F.col("end"), "E").alias("tags"))
 
 
-register("event_tags", _event_tags, """select emb_id, coalesce(array_to_string([case when i >= position.start and i < position.start + position."length" then 'E' else 'O' end for i in range(0, 40)], ''), '') as tags from doc_embeddings where position is not null""")
+register("event_tags", _event_tags, """
+with e as (select emb_id, source_doc_id, cast(position.start as int) as a, cast(position.start + position."length" as int) as z from doc_embeddings where position is not null),
+l as (select source_doc_id, max(z) as n from e where source_doc_id is not null group by 1)
+select emb_id, case when n is null then '' else repeat('O', greatest(least(a, n), 0)) || repeat('E', greatest(least(z, n) - greatest(a, 0), 0)) || repeat('O', greatest(n - greatest(z, 0), 0)) end as tags
+from (select emb_id, a, z, coalesce(l.n, z, 0) as n from e left join l using (source_doc_id))""")
 register("label_map", lambda s, d: C.map_labels(load(s, d, "relation_names").select("relation_id", "triple_type"), "triple_type", {"subject": "subj", "object": "obj", "keyword": None}), "select relation_id, case triple_type when 'subject' then 'subj' when 'object' then 'obj' else triple_type end as triple_type from relation_names where triple_type is not null and triple_type <> 'keyword'")
 register("stratify", lambda s, d: C.stratify(load(s, d, "documents").join(load(s, d, "subject_labels").select("doc_id", "subject").distinct(), "doc_id"), ["lang", "subject"], "doc_id"), "select lang, subject, count(*) as n, min(doc_id) as first, max(doc_id) as last from documents join (select distinct doc_id, subject from subject_labels) using (doc_id) group by lang, subject")
 register("file_language", lambda s, d: load(s, d, "converted_docs").where("source_doc_id is not null").select("record_id", T.file_language(F.concat(F.lit("/x/fr_"), F.col("record_id").cast("string"), F.lit(".conllu"))).alias("language")), "select record_id, 'fr' as language from converted_docs where source_doc_id is not null")

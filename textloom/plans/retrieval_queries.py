@@ -72,7 +72,7 @@ def _match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _AND = _BM25.replace(_QUERY, rf"""
-qt as (select qid, term, cast(count(*) as double) as boost from (select qid, unnest([x for x in regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+') if x not in ({_STOP})][1:3]) as term from eval_queries) group by all)
+qt as (select qid, term, cast(count(*) as double) as boost from (select qid, unnest([x for x in regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+') if x not in ({_STOP})]) as term from eval_queries) group by all)
 """)
 register("match_and", _match_and, f"with {_AND} select qid, doc_id, score from scored join (select qid, count(*) as size from qt group by qid) using (qid) where matched = size")
 register("page_offset", lambda s, d: R.page(_Index(s, d).stored().found(), size=5, start=10).select("qid", "rank", "doc_id", "score"), f"with {_BM25} select qid, {_TOP} as rank, doc_id, score from scored qualify rank between 11 and 15")
