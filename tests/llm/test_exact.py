@@ -81,8 +81,43 @@ def test_fingerprints_never_exceed_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(2))
-        d = np.bitwise_count(near_duplicates.fingerprint(a) ^ near_duplicates.fingerprint(b)).sum()
-        assert d <= len(set(a.tolist()) ^ set(b.tolist()))
+        x, y = near_duplicates.fingerprint(a), near_duplicates.fingerprint(b)
+        d = [np.bitwise_count(near_duplicates.folded(x, w) ^ near_duplicates.folded(y, w)).sum() for w in (4, min(len(x), len(y)))]
+        assert d[0] <= d[1] <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_pairs_at_the_threshold_share_a_shard(spark):
+    """Sets around a similarity of one half, with sequences that a third of all records hold."""
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(4000)]
+    common = " ".join(words[:30])
+    rows = []
+    for i in range(120):
+        base = rng.sample(words, 60)
+        cut = rng.randrange(10, 30)
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base[: 60 - cut] + rng.sample(words, cut))), (3 * i + 2, f"{common} {' '.join(rng.sample(words, rng.randrange(3, 40)))}")]
+    df = spark.createDataFrame(rows, "record bigint, text string")
+    got = {tuple(r) for r in near_duplicates.similar_pairs(df, "record", F.col("text")).collect()}
+    assert got == brute_pairs(rows) and len(got) > 100
+
+
+def test_trees_prune_by_size_and_distance(monkeypatch):
+    """Families of near sets of many sizes in one shard: what is visited, and what a search without pruning finds."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**63, int(rng.integers(20, 2000)), dtype=np.uint64)
+        for _ in range(5):
+            own = base.copy()
+            own[rng.random(len(own)) < 0.05] ^= np.uint64(12345)
+            sets.append(np.unique(own))
+    size = np.array([len(x) for x in sets])
+    monkeypatch.setattr(near_duplicates, "LEAST_BITS", 1 << 14)  # one length for all
+    prints = np.stack([near_duplicates.fingerprint(x) for x in sets])
+    shard, ids, work = np.zeros(len(sets), np.int64), np.arange(len(sets)), []
+    found = {(int(a), int(b)) for x, y in near_duplicates.search_shards(shard, ids, size, prints, 0.8, None, work) for a, b in zip(x, y, strict=True)}
+    true = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert true <= found and len(found) <= 1.2 * len(true) and sum(work) < 0.25 * len(sets) ** 2, (len(true), len(found), sum(work) / len(sets) ** 2)
 
 
 def test_no_records(spark):

@@ -4,14 +4,17 @@ A record is the set of its sequences of ``WIDTH`` consecutive words, and two rec
 their sets' Jaccard similarity is ``threshold`` or more.  The fingerprint of a set is a bitmap in which
 every member flips one bit, so that the Hamming distance of two fingerprints never exceeds the size of
 the sets' symmetric difference.  As Jaccard >= t is the same as |A ^ B| <= (|A| + |B|)(1 - t)/(1 + t), a
-search of that integer radius in a BK-tree of fingerprints loses no similar pair of the tree.
-
-Trees are kept small by shards: records that agree in one of ``BANDS`` groups of ``ROWS`` minimum
-hashes (a pair at the threshold 0.5 shares none with a probability of 0.5 %; at similarity 0.6 of
-0.006 %).  A shard's tree goes to the task that holds the shard's records; all trees of a task are built
-and searched together, level by level.  A shard of more than ``SHARD`` records is cut into blocks, each
-with a tree of its own which the records of all its blocks search.  What the trees find is compared
-exactly.
+search of that integer radius in a BK-tree of fingerprints loses no similar pair of the tree.  A fingerprint has some
+``SPARSE`` bits for each member, so that unrelated sets stay far apart; as its halves can be laid over each other, the sets of one
+tree are compared at the length of the shortest.
+
+Shards say which records share a tree, and lose no pair: in an order of all sequences, rare ones first (by a count sketch of fixed
+size), similar sets share one of their first |A| - t|A| + 1, so a shard is the records that have a sequence among these.  Shards with the
+same records are one, and shards of one record none; fingerprints only travel to what remains.  In a shard the first level of the trees is the sets' size, in
+steps of ``STEP``, and a query only visits the sizes it may be similar to, with the radius that the size allows; below it, edges are
+integer Hamming distances, and only those within the radius are followed.  A shard's trees are built in the task that holds the shard, as the trees of
+a whole collection have no bounded size to be broadcast.  A shard of more than ``SHARD`` records is cut into blocks, each with trees of its own which the
+records of all its blocks search.  What the trees find is compared exactly.
 
 Records with the same set are one node: its smallest identifier; the others are led to it by
 ``members``.
@@ -35,9 +38,13 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 WIDTH, THRESHOLD = 3, 0.5
-BITS = 512
-BANDS, ROWS = 40, 3
+#: Bits of a fingerprint for each member, and its least number of bits.
+SPARSE, LEAST_BITS = 8, 256
+#: Ratio between the sizes that share a first-level edge.
+STEP = 1.15
 SHARD = 20_000
+#: Counters of the sketch that orders sequences; a bound of what is sent to the tasks (one byte each).
+SKETCH = 1 << 20
 #: (query, node) pairs held at once by a search.
 FRONTIER = 2_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -83,32 +90,57 @@ def _sets(width: int):
 
 
 def fingerprint(s: np.ndarray) -> np.ndarray:
-    return np.packbits(np.bincount((_mix(s) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.uint64)
+    """Parity bitmap of a power of two of bits, at least ``SPARSE`` for each member."""
+    bits = max(LEAST_BITS, 1 << (SPARSE * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((_mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
+def folded(prints: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint laid over itself to ``words`` words of 64 bits; what a shorter bitmap of the same set would be."""
+    while len(prints) > words:
+        half = len(prints) // 2
+        prints = prints[:half] ^ prints[half:]
+    return prints
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, bounds) of a column of hashes."""
+    return column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SKETCH, np.int64)
+    for b in batches:
+        counts += np.bincount((_lists(b.column(0))[0] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    slot = np.flatnonzero(counts > 1)  # once in a task: as good as rare
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
+
+
+def _prefixes(threshold: float, levels_b):
+    """(shard, id, size): the members that a similar set has one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = levels_b.value
+        for b in batches:
+            flat, at = _lists(b.column(1))
+            size = np.diff(at)
+            owner = np.repeat(np.arange(len(b)), size)
+            order = np.lexsort((flat, levels[(flat % np.uint64(SKETCH)).astype(np.int64)], owner))
+            place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+            first = place <= np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64), size)
+            shard, owner = flat[order][first].view(np.int64), owner[first]
+            ids = b.column(0).to_numpy()
+            for k in range(0, len(shard), 50_000):
+                o = owner[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[k : k + 50_000]), pa.array(ids[o]), pa.array(size[o].astype(np.int32))], names=["shard", "id", "size"])
+
+    return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds = np.random.default_rng(7)
-    a, c = (seeds.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
-    shift, lane = np.uint64(29), np.arange(BANDS, dtype=np.uint64)[:, None]
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        column = b.column(1)
-        flat, offsets = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
-        n = len(b)
-        shards, prints = np.empty((n, BANDS), np.int64), np.empty((n, BITS // 64), np.uint64)
-        for k in range(n):
-            s = flat[offsets[k] : offsets[k + 1]]
-            low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-            for at in range(0, len(s), 4096):
-                h = s[at : at + 4096, None] * a + c
-                low = np.minimum(low, ((h ^ (h >> shift)) * _M2).min(axis=0))
-            key = lane[:, 0].copy()
-            for r in range(ROWS):
-                key = _mix(key * _M3 + low[r::ROWS])
-            shards[k], prints[k] = key.view(np.int64), fingerprint(s)
-        for at in range(0, n, 500):
-            m = min(500, n - at)
-            rows = np.repeat(np.arange(at, at + m), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(shards[at : at + m].ravel()), pa.array(b.column(0).to_numpy()[rows]), pa.array(np.diff(offsets)[rows].astype(np.int32)), pa.array([p.tobytes() for p in prints[at : at + m] for _ in range(BANDS)], pa.binary())], names=["shard", "id", "size", "print"])
+        flat, at = _lists(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(flat[at[k] : at[k + 1]]).tobytes() for k in range(len(b))], pa.binary())], names=["id", "print"])
 
 
 class BKForest:
@@ -153,16 +185,18 @@ class BKForest:
         return which, values[np.repeat(at[node] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def search(self, query: np.ndarray, prints: np.ndarray, start: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, item, distance) within each query's radius of the tree with root ``start``; follows only edges that can hold one."""
+        """(query, item, distance) within the radius of each entry (query, root); follows only edges that can hold one."""
         node = start
+        self.visited = 0
         while len(node):
+            self.visited += len(node)
             d = np.bitwise_count(prints[query] ^ self.prints[node]).sum(axis=1, dtype=np.int64)
-            near = d <= radius[query]
+            near = d <= radius
             which, item = self._spread(self.kept_at, self.kept, node[near])
             yield query[near][which], item, d[near][which]
             which, child = self._spread(self.child_at, self.children, node)
-            follow = np.abs(self.edge[child] - d[which]) <= radius[query[which]]
-            query, node = query[which[follow]], child[follow]
+            follow = np.abs(self.edge[child] - d[which]) <= radius[which]
+            query, node, radius = query[which[follow]], child[follow], radius[which[follow]]
 
 
 def within(threshold: float, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -170,46 +204,48 @@ def within(threshold: float, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarr
     return np.floor((size_a + size_b) * (1 - threshold) / (1 + threshold) + 1e-9)
 
 
-def search_shards(shard: np.ndarray, ids: np.ndarray, size: np.ndarray, prints: np.ndarray, threshold: float, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller, larger identifier) that may be similar; shard is sorted. home: if given, only pairs of one true and one false."""
-    forest = BKForest(prints, shard)
-    radius = np.floor(size * (1 - threshold) / threshold + 1e-9)  # a partner has at most size / threshold members
-    trees = np.diff(np.r_[forest.root, len(shard)])
-    load = np.cumsum(np.repeat(trees, trees))
-    out_a, out_b = [], []
-    begin = 0
-    while begin < len(shard):
-        end = max(begin + 1, int(np.searchsorted(load, (load[begin - 1] if begin else 0) + FRONTIER, side="right")))
-        q = np.arange(begin, end)
-        q = q[np.repeat(trees, trees)[begin:end] > 1]
-        for query, item, d in forest.search(q, prints, forest.root_of[q], radius):
-            keep = (ids[query] < ids[item]) & (d <= within(threshold, size[query], size[item])) & (np.minimum(size[query], size[item]) >= threshold * np.maximum(size[query], size[item]) - 1e-9)
+def search_shards(shard: np.ndarray, ids: np.ndarray, size: np.ndarray, prints: np.ndarray, threshold: float, home: np.ndarray | None = None, work: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller, larger identifier) that may be similar, as they are found; shard is sorted, prints of one length.
+
+    home: if given, only pairs of one true and one false.  work: gets the nodes visited.
+    """
+    step = np.floor(np.log(np.maximum(size, 1)) / np.log(STEP)).astype(np.int64)
+    order = np.lexsort((ids, step, shard))
+    shard, ids, size, prints, step = shard[order], ids[order], size[order], prints[order], step[order]
+    home = None if home is None else home[order]
+    edge = np.r_[True, (shard[1:] != shard[:-1]) | (step[1:] != step[:-1])][: len(shard)]
+    forest = BKForest(prints, np.cumsum(edge))
+    root_shard, root_step = shard[forest.root], step[forest.root]
+    most = np.maximum.reduceat(size, forest.root) if len(size) else size
+    least = np.minimum.reduceat(size, forest.root) if len(size) else size
+    # every record searches the first-level edges of its shard whose sizes it may be similar to
+    begin, end = np.searchsorted(root_shard, shard, "left"), np.searchsorted(root_shard, shard, "right")
+    bounds = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+    rows = np.diff(np.r_[bounds, len(shard)])
+    load = np.cumsum(np.repeat(rows, rows))  # nodes that the queries up to here can visit
+    at = 0
+    while at < len(shard):
+        stop = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + FRONTIER, side="right")))
+        q = np.arange(at, stop)
+        n = end[q] - begin[q]
+        query = np.repeat(q, n)
+        root = np.repeat(begin[q] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        fits = (most[root] >= threshold * size[query] - 1e-9) & (threshold * least[root] <= size[query] + 1e-9)
+        query, root = query[fits], root[fits]
+        radius = within(threshold, size[query], most[root])
+        for a, item, d in forest.search(query, prints, forest.root[root], radius):
+            keep = (ids[a] < ids[item]) & (d <= within(threshold, size[a], size[item])) & (np.minimum(size[a], size[item]) >= threshold * np.maximum(size[a], size[item]) - 1e-9)
             if home is not None:
-                keep &= home[query] != home[item]
-            out_a.append(ids[query[keep]])
-            out_b.append(ids[item[keep]])
-        begin = end
-    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+                keep &= home[a] != home[item]
+            if keep.any():
+                yield ids[a[keep]], ids[item[keep]]
+        if work is not None:
+            work.append(forest.visited)
+        at = stop
 
 
-def _search_task(threshold: float):
-    def emit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        shard, block, ids, size = (t.column(c).to_numpy() for c in ("shard", "block", "id", "size"))
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        prints = np.frombuffer(b"".join(t.column("print").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        edge = np.r_[True, (shard[1:] != shard[:-1]) | (block[1:] != block[:-1])]
-        a, b = [], []
-        tree = np.cumsum(edge)
-        cross = block < 0  # two different blocks of a large shard: only pairs across
-        for part, sides in ((~cross, None), (cross, home)):
-            if part.any():
-                x, y = search_shards(tree[part], ids[part], size[part].astype(np.int64), prints[part], threshold, None if sides is None else sides[part])
-                a.append(x)
-                b.append(y)
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        for at in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
+def _whole_groups(work, keys: tuple[str, ...], hold: int):
+    """A task over sorted rows: ``work`` gets tables of whole groups of about ``hold`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -217,21 +253,61 @@ def _search_task(threshold: float):
         for b in batches:
             held.append(b)
             n += len(b)
-            if n >= 4 * SHARD:
-                # the last shard may go on in the next block of rows
+            if n >= hold:
                 t = pa.Table.from_batches(held).combine_chunks()
-                shard, block = t.column("shard").to_numpy(), t.column("block").to_numpy()
-                cut = int(np.flatnonzero((shard != shard[-1]) | (block != block[-1]))[-1]) + 1 if ((shard != shard[-1]) | (block != block[-1])).any() else 0
+                other = np.zeros(len(t), bool)
+                for k in keys:
+                    v = t.column(k).to_numpy()
+                    other |= v != v[-1]
+                cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last group may go on
                 if cut:
-                    yield from emit(t.slice(0, cut).combine_chunks().to_batches())
-                    held = t.slice(cut).combine_chunks().to_batches()
-                    n = len(t) - cut
+                    yield from work(t.slice(0, cut).combine_chunks())
+                held, n = t.slice(cut).combine_chunks().to_batches(), len(t) - cut
         if held:
-            yield from emit(held)
+            yield from work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _alike(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(shard, block, id, size, home) of shards of two or more records; those with the same records are one."""
+    shard, block, ids, size = (t.column(c).to_numpy() for c in ("shard", "block", "id", "size"))
+    home = t.column("home").to_numpy(zero_copy_only=False)
+    edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (block[1:] != block[:-1])])
+    n = np.diff(np.r_[edge, len(shard)])
+    with np.errstate(over="ignore"):
+        whole = np.add.reduceat(_mix(ids.view(np.uint64) + np.uint64(1)) * np.where(home, _M1, _M2), edge)  # a sum: order doesn't matter
+    whole = np.where(block[edge] == 0, whole, _mix(whole + shard[edge].view(np.uint64)))  # blocks stay apart
+    _, first = np.unique(whole, return_index=True)
+    keep = np.zeros(len(edge), bool)
+    keep[first] = True
+    keep &= n > 1
+    rows = np.repeat(keep, n)
+    name = np.repeat(whole.view(np.int64), n)[rows]
+    block, ids, size, home = block[rows], ids[rows], size[rows], home[rows]
+    for k in range(0, len(ids), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (name, block, ids, size, home)], names=["shard", "block", "id", "size", "home"])
+
+
+def _search_task(threshold: float):
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        shard, block, ids, size = (t.column(c).to_numpy() for c in ("shard", "block", "id", "size"))
+        home = t.column("home").to_numpy(zero_copy_only=False)
+        prints = [np.frombuffer(p, np.uint64) for p in t.column("print").to_pylist()]
+        edge = np.r_[True, (shard[1:] != shard[:-1]) | (block[1:] != block[:-1])]
+        tree = np.cumsum(edge) - 1
+        words = np.minimum.reduceat(np.array([len(p) for p in prints]), np.flatnonzero(edge))[tree]  # the shortest of the tree
+        for w in np.unique(words):
+            for cross in (False, True):  # two different blocks of a large shard: only pairs across
+                part = np.flatnonzero((words == w) & ((block < 0) == cross))
+                if len(part):
+                    same = np.stack([folded(prints[k], w) for k in part])
+                    for a, b in search_shards(tree[part], ids[part], size[part].astype(np.int64), same, threshold, home[part] if cross else None):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return _whole_groups(work, ("shard", "block"), 20_000)
+
+
 def similar_records(df: DataFrame, id_col: str, text: Column, threshold: float = THRESHOLD, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (id_a, id_b, similarity) of nodes, members (node, id) of every record with a set."""
     spark = df.sparkSession
@@ -239,17 +315,26 @@ def similar_records(df: DataFrame, id_col: str, text: Column, threshold: float =
     node = sets.groupBy("key").agg(F.min("id").alias("node"))
     members = materialize(sets.select("key", "id").join(node, "key").select("node", "id"), "members")
     nodes = sets.join(members.where("node = id").select("id"), "id", "left_semi").select("id", "members")
-    shards = nodes.mapInArrow(_bands, "shard bigint, id bigint, size int, print binary")
-    # a shard above SHARD records is cut into blocks; each pair of blocks is searched once
-    large = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("shard", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks"))
-    rows = shards.join(large, "shard", "left")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    i, j = F.least(F.col("own"), F.col("other")), F.greatest(F.col("own"), F.col("other"))
-    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-    block = F.when(F.col("own") == F.col("other"), F.col("own")).otherwise(-1 - (i * F.coalesce(F.col("blocks"), F.lit(1)) + j))
-    rows = rows.select("shard", block.cast("int").alias("block"), "id", "size", "print", (F.col("own") == i).alias("home"))
+    nodes = materialize(nodes, "nodes")
+    counts = nodes.select("members").mapInArrow(_sketch, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most ``SKETCH`` rows
+    levels = np.zeros(SKETCH, np.uint8)
+    for r in counts:
+        levels[r["slot"]] = int(r["n"]).bit_length()
+    shards = nodes.mapInArrow(_prefixes(threshold, spark.sparkContext.broadcast(levels)), "shard bigint, id bigint, size int")
+    rows = shards.select("shard", F.lit(0).alias("block"), "id", "size", F.lit(True).alias("home"))
+    if levels.max(initial=0) >= SHARD.bit_length():  # only then can a shard be large
+        large = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("shard", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks"))
+        cut = shards.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        i, j = F.least(F.col("own"), F.col("other")), F.greatest(F.col("own"), F.col("other"))
+        block = F.when(F.col("own") == F.col("other"), F.col("own") + F.when(F.col("blocks") > 1, 1).otherwise(0)).otherwise(-1 - (i * F.col("blocks") + j))
+        rows = cut.select("shard", block.cast("int").alias("block"), "id", "size", (F.col("own") == i).alias("home"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = rows.repartition(n, "shard", "block").sortWithinPartitions("shard", "block", "id").mapInArrow(_search_task(threshold), "a bigint, b bigint").distinct()
+    alike = rows.repartition(n, "shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_whole_groups(_alike, ("shard", "block"), 200_000), "shard bigint, block int, id bigint, size int, home boolean")
+    alike = alike.dropDuplicates(["shard", "block", "id"])
+    prints = nodes.mapInArrow(_prints, "id bigint, print binary")
+    trees = alike.join(prints, "id").repartition(n, "shard", "block").sortWithinPartitions("shard", "block", "id")
+    found = materialize(trees.select("shard", "block", "id", "size", "home", "print").mapInArrow(_search_task(threshold), "a bigint, b bigint").distinct(), "found")
     with_a = found.join(nodes.select(F.col("id").alias("a"), F.col("members").alias("m_a")), "a")
     both = with_a.join(nodes.select(F.col("id").alias("b"), F.col("members").alias("m_b")), "b")
     shared = F.size(F.array_intersect("m_a", "m_b"))
