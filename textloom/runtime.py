@@ -55,6 +55,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing lazy reads any more (what was made of them is materialized itself)."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/textloom-" in f}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the project's tables, a file or a folder of files."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
