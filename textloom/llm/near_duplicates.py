@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, materialize
 
 WIDTH, THRESHOLD = 3, 0.5
 #: Bits of a fingerprint for each member, and its least number of bits.
@@ -44,7 +44,7 @@ SPARSE, LEAST_BITS = 8, 256
 STEP = 1.15
 SHARD = 20_000
 #: Counters of the sketch that orders sequences; a bound of what is sent to the tasks (one byte each).
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 #: (query, node) pairs held at once by a search.
 FRONTIER = 2_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -117,7 +117,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(threshold: float, levels_b):
-    """(shard, id, size): the members that a similar set has one of."""
+    """(shard, id, size, first): the members that a similar set has one of; first: among those that a larger one has one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = levels_b.value
@@ -128,11 +128,13 @@ def _prefixes(threshold: float, levels_b):
             order = np.lexsort((flat, levels[(flat % np.uint64(SKETCH)).astype(np.int64)], owner))
             place = np.arange(len(flat)) - np.repeat(at[:-1], size)
             first = place <= np.repeat(size - np.ceil(threshold * size - 1e-9).astype(np.int64), size)
+            # a set no larger than its partner shares one of its first |A| - 2t/(1 + t)|A| + 1
+            small = (place <= np.repeat(size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64), size))[first]
             shard, owner = flat[order][first].view(np.int64), owner[first]
             ids = b.column(0).to_numpy()
             for k in range(0, len(shard), 50_000):
                 o = owner[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[k : k + 50_000]), pa.array(ids[o]), pa.array(size[o].astype(np.int32))], names=["shard", "id", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[k : k + 50_000]), pa.array(ids[o]), pa.array(size[o].astype(np.int32)), pa.array(small[k : k + 50_000])], names=["shard", "id", "size", "first"])
 
     return run
 
@@ -269,18 +271,39 @@ def _whole_groups(work, keys: tuple[str, ...], hold: int):
     return run
 
 
-def _alike(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(shard, block, id, size, home) of shards of two or more records; those with the same records are one."""
+def _met(group: np.ndarray, size: np.ndarray, first: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows with a partner of fitting size in their group, the smaller one being ``first``; sorted by group, size, first ones before."""
+    n = len(group)
+    place = np.arange(n)
+    before = np.r_[-1, np.maximum.accumulate(np.where(first, place, -1))[:-1]]  # the last first one before
+    at = np.maximum(before, 0)
+    behind = (before >= 0) & (group[at] == group) & (size[at] >= threshold * size - 1e-9)
+    nxt = np.minimum(place + 1, n - 1)
+    return behind | (first & (nxt > place) & (group[nxt] == group) & (threshold * size[nxt] <= size + 1e-9))
+
+
+def _alike(threshold: float):
+    """(shard, block, id, size, home) of records that meet another in a shard; shards with the same records are one."""
+    return lambda t: _meetings(t, threshold)
+
+
+def _meetings(t: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     shard, block, ids, size = (t.column(c).to_numpy() for c in ("shard", "block", "id", "size"))
-    home = t.column("home").to_numpy(zero_copy_only=False)
+    home, first = (t.column(c).to_numpy(zero_copy_only=False) for c in ("home", "first"))
+    group = np.cumsum(np.r_[True, (shard[1:] != shard[:-1]) | (block[1:] != block[:-1])])
+    order = np.lexsort((~first, size, group))
+    order = order[_met(group[order], size[order], first[order], threshold)]
+    if not len(order):
+        return
+    shard, block, ids, size, home = shard[order], block[order], ids[order], size[order], home[order]
     edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (block[1:] != block[:-1])])
     n = np.diff(np.r_[edge, len(shard)])
     with np.errstate(over="ignore"):
         whole = np.add.reduceat(_mix(ids.view(np.uint64) + np.uint64(1)) * np.where(home, _M1, _M2), edge)  # a sum: order doesn't matter
     whole = np.where(block[edge] == 0, whole, _mix(whole + shard[edge].view(np.uint64)))  # blocks stay apart
-    _, first = np.unique(whole, return_index=True)
+    _, at = np.unique(whole, return_index=True)
     keep = np.zeros(len(edge), bool)
-    keep[first] = True
+    keep[at] = True
     keep &= n > 1
     rows = np.repeat(keep, n)
     name = np.repeat(whole.view(np.int64), n)[rows]
@@ -316,21 +339,21 @@ def similar_records(df: DataFrame, id_col: str, text: Column, threshold: float =
     members = materialize(sets.select("key", "id").join(node, "key").select("node", "id"), "members")
     nodes = sets.join(members.where("node = id").select("id"), "id", "left_semi").select("id", "members")
     nodes = materialize(nodes, "nodes")
-    counts = nodes.select("members").mapInArrow(_sketch, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most ``SKETCH`` rows
+    discard(sets)
+    counts = nodes.select("members").mapInArrow(_sketch, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most ``SKETCH`` rows
     levels = np.zeros(SKETCH, np.uint8)
-    for r in counts:
-        levels[r["slot"]] = int(r["n"]).bit_length()
-    shards = nodes.mapInArrow(_prefixes(threshold, spark.sparkContext.broadcast(levels)), "shard bigint, id bigint, size int")
-    rows = shards.select("shard", F.lit(0).alias("block"), "id", "size", F.lit(True).alias("home"))
+    levels[counts.column("slot").to_numpy()] = np.ceil(np.log2(counts.column("n").to_numpy() + 1)).astype(np.uint8)
+    shards = nodes.mapInArrow(_prefixes(threshold, spark.sparkContext.broadcast(levels)), "shard bigint, id bigint, size int, first boolean")
+    rows = shards.select("shard", F.lit(0).alias("block"), "id", "size", "first", F.lit(True).alias("home"))
     if levels.max(initial=0) >= SHARD.bit_length():  # only then can a shard be large
         large = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("shard", F.ceil(F.col("n") / SHARD).cast("int").alias("blocks"))
         cut = shards.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         i, j = F.least(F.col("own"), F.col("other")), F.greatest(F.col("own"), F.col("other"))
         block = F.when(F.col("own") == F.col("other"), F.col("own") + F.when(F.col("blocks") > 1, 1).otherwise(0)).otherwise(-1 - (i * F.col("blocks") + j))
-        rows = cut.select("shard", block.cast("int").alias("block"), "id", "size", (F.col("own") == i).alias("home"))
+        rows = cut.select("shard", block.cast("int").alias("block"), "id", "size", "first", (F.col("own") == i).alias("home"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    alike = rows.repartition(n, "shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_whole_groups(_alike, ("shard", "block"), 200_000), "shard bigint, block int, id bigint, size int, home boolean")
+    alike = rows.repartition(n, "shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_whole_groups(_alike(threshold), ("shard", "block"), 200_000), "shard bigint, block int, id bigint, size int, home boolean")
     alike = alike.dropDuplicates(["shard", "block", "id"])
     prints = nodes.mapInArrow(_prints, "id bigint, print binary")
     trees = alike.join(prints, "id").repartition(n, "shard", "block").sortWithinPartitions("shard", "block", "id")
