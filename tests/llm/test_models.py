@@ -83,7 +83,7 @@ def test_quantizer_reconstructs():
 
 @pytest.mark.parametrize("leaf", [400, 6])
 def test_groups_of_planted_clusters(spark, monkeypatch, leaf):
-    monkeypatch.setattr(similarity_groups.neighbour_graph, "__defaults__", (8, 4, 4, leaf, 5))
+    monkeypatch.setattr(similarity_groups.neighbour_graph, "__defaults__", (8, 4, 50, leaf, 5))
     rng = np.random.default_rng(1)
     rows, expected, i = [], set(), 0
     for size in (1, 2, 5, 40, 3):
@@ -107,6 +107,44 @@ def test_groups_of_nothing(spark):
     assert similarity_groups.group_rows(df, "row", "kind", "v").count() == 0
 
 
+def bridged(seed=3):
+    """Two dense groups, 34 degrees apart, and row 0 between them that reaches nearly all rows of both."""
+    rng = np.random.default_rng(seed)
+    q, _ = np.linalg.qr(rng.standard_normal((64, 64)))
+    a, b = q[:, 0], np.cos(np.radians(56)) * q[:, 0] + np.sin(np.radians(56)) * q[:, 1]
+    unit = lambda v: v / np.linalg.norm(v)
+    near = lambda c: unit(c + 0.035 * rng.standard_normal(64))
+    rows = [(0, "s", unit(a + b).tolist())] + [(i, "s", near(a if i % 2 else b).tolist()) for i in range(1, 41)]
+    return rows
+
+
+def test_groups_that_touch_are_divided_by_modularity(spark, monkeypatch):
+    rows = bridged()
+    df = spark.createDataFrame(rows, "row bigint, kind string, v array<float>")
+    x = np.array([v for _, _, v in rows])
+    cos = x @ x.T
+    assert (cos[0, 1:] > 0.8).mean() > 0.9 and (cos[1::2, 2::2] > 0.8).mean() < 0.1
+
+    def groups():
+        label = {r["id"]: r["first_id"] for r in similarity_groups.cluster(df, "row", "kind", "v")[0].collect()}
+        return {frozenset(k for k in label if label[k] == g) for g in label.values()}
+
+    found = groups()
+    odd, even = frozenset(range(1, 41, 2)), frozenset(range(2, 41, 2))
+    assert found in ({odd | {0}, even}, {odd, even | {0}})
+    monkeypatch.setattr(similarity_groups, "communities", lambda edges: edges.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    assert groups() != found  # every node alone: row 0 takes rows of both
+
+
+def test_communities_settle_or_raise(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, b, 1.0) for g in (0, 10) for a in range(g, g + 5) for b in range(g, g + 5) if a != b] + [(0, 10, 0.1), (10, 0, 0.1)], "a bigint, b bigint, w double")
+    got = {r["node"]: r["community"] for r in similarity_groups.communities(edges).collect()}
+    assert len({got[i] for i in range(5)}) == len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
+    monkeypatch.setattr(similarity_groups, "MOST_MOVES", 1)
+    with pytest.raises(RuntimeError):
+        similarity_groups.communities(edges)
+
+
 # mails
 
 KG = "array<struct<subject:struct<content:array<string>>,property:struct<content:array<string>>,value:struct<content:array<string>>>>"

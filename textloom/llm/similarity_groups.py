@@ -5,11 +5,14 @@
    forests give the first neighbours, then neighbours of neighbours (with reverse ones) are compared until
    hardly a list improves.
 3. Communities of the graph's edges of at least ``threshold`` are detected by modularity: nodes move to
-   the neighbouring community of greatest gain, communities are contracted and moved again.
-4. Every community has a representative, the member of highest internal weighted degree.  Members whose
-   cosine to it is below the threshold leave; communities whose representatives reach the threshold are
-   one (modularity divides large groups, and the graph is approximate), found by the same descent
-   over representatives.
+   the neighbouring community of greatest gain until hardly one moves, communities are contracted and moved again, until a level
+   moves none.
+4. Every community has a representative, the member of highest internal weighted degree.  Modularity divides large
+   groups, and the graph is approximate, so a representative that reaches the threshold with one of higher degree joins it, if that one joins no other
+   itself; what is left is compared again, by the same descent over representatives, until no two reach it.  Nothing is chained:
+   members whose cosine to their new representative is below the threshold stay with their former one's other
+   members, or alone.
+5. Degrees and sizes are those of the groups returned.
 
 All vectors of a class are in one graph however skewed: leaves above ``LEAF`` rows are cut into chunks,
 differently in each tree, and reverse neighbours are ranked and cut to the best ``REVERSE`` of a
@@ -27,17 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
-from .components import components
+from ..runtime import discard, materialize
 from .similar_vectors import DIM, _fixed, pack, unit_rows, unpack
 
 THRESHOLD = 0.8
 NEIGHBOURS, REVERSE, TREES, LEAF = 8, 8, 4, 400
-ROUNDS, SETTLED = 4, 0.01
-LEVELS, MOVES, RESOLUTION = 2, 4, 1.0
+#: Share of the lists' places that may still change where the descent is settled, and rounds after which that must be so.
+SETTLED, ROUNDS = 0.01, 50
+#: Share of the nodes that may still move where communities count as settled, and rounds after which that must be so.
+STILL, MOST_MOVES, RESOLUTION = 0.001, 400, 1.0
 _NODE = "id bigint, class string, same binary, vec binary, scale float"
 
 
@@ -167,22 +171,28 @@ def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, r
         merged = graph.withColumn("new", F.lit(0)).unionByName(better.withColumn("new", F.lit(1))).groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
         merged = materialize(_best(merged, "a", "b", k), "graph")
         changed = merged.agg(F.sum("new").alias("s")).first()["s"] or 0
+        discard(graph)
         graph = merged.drop("new")
         if changed <= SETTLED * n * k:
-            break
-    return graph
+            return graph
+    raise RuntimeError(f"neighbour descent isn't settled after {rounds} rounds")
 
 
-def communities(edges: DataFrame, levels: int = LEVELS, moves: int = MOVES, resolution: float = RESOLUTION) -> DataFrame:
-    """(node, community) by modularity; edges (a, b, w) in both directions, each once, w > 0."""
+def communities(edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+    """(node, community) by modularity; edges (a, b, w) in both directions, each once, w > 0.  Raises if the moves don't settle."""
     edges = materialize(edges, "weights")
     total = edges.agg(F.sum("w").alias("s")).first()["s"] or 0.0
-    of_node = edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community"))
-    for level in range(levels):
+    of_node = materialize(edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community")), "communities")
+    level, moved_any = 0, True
+    while moved_any:
         degree = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
-        where = materialize(degree.select("node", F.col("node").alias("c"), "k"), "moves")
+        where = materialize(degree.select("node", F.col("node").alias("c"), "k", F.lit(0).alias("moved")), "moves")
+        nodes = where.count()
         links = edges.where("a <> b")
-        for move in range(moves):
+        move, recent, moved_any = 0, [], False
+        while len(recent) < 2 or sum(recent[-2:]) > STILL * nodes:
+            if move >= MOST_MOVES:
+                raise RuntimeError(f"communities of level {level} don't settle: {recent[-2:]} of {nodes} nodes still move")
             sums = where.groupBy("c").agg(F.sum("k").alias("tot"))
             near = links.join(where.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("inside"))
             own = where.select(F.col("node").alias("a"), F.col("c").alias("now"), "k")
@@ -190,15 +200,24 @@ def communities(edges: DataFrame, levels: int = LEVELS, moves: int = MOVES, reso
             gain = F.col("inside") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / F.lit(max(total, 1e-9))
             scored = options.join(own, "a").join(sums, "c").select("a", "c", "now", "k", gain.alias("gain"))
             best = scored.groupBy("a").agg(F.max(F.struct("gain", (-F.col("c")).alias("neg"))).alias("best"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"), F.first("now").alias("now"), F.first("k").alias("k"))
-            # half of the nodes move in a round, so that two don't just change places
-            turn = F.pmod(F.xxhash64("a", F.lit(move + 10 * level)), F.lit(2)) == 0
+            # each half of the nodes moves in its round, other halves in every second round, so that two don't just change places
+            turn = F.pmod(F.xxhash64("a", F.lit(move // 2 + 1000 * level)), F.lit(2)) == move % 2
             moves_on = turn & (F.col("best.gain") > F.col("stay") + 1e-9)
-            where = materialize(best.select(F.col("a").alias("node"), F.when(moves_on, -F.col("best.neg")).otherwise(F.col("now")).alias("c"), "k"), "moves")
-        there = where.select("node", "c")
-        of_node = materialize(of_node.join(there.withColumnRenamed("node", "community"), "community").select("node", F.col("c").alias("community")), "communities")
-        if level + 1 < levels:
+            after = materialize(best.select(F.col("a").alias("node"), F.when(moves_on, -F.col("best.neg")).otherwise(F.col("now")).alias("c"), "k", moves_on.cast("int").alias("moved")), "moves")
+            discard(where)
+            where = after
+            recent.append(where.agg(F.sum("moved").alias("s")).first()["s"] or 0)
+            moved_any |= recent[-1] > 0
+            move += 1
+        if moved_any:
+            there = where.select("node", "c")
+            wider = materialize(of_node.join(there.withColumnRenamed("node", "community"), "community").select("node", F.col("c").alias("community")), "communities")
             a, b = (there.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-            edges = materialize(edges.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "weights")
+            fewer = materialize(edges.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "weights")
+            discard(of_node, edges)
+            of_node, edges = wider, fewer
+        discard(where)
+        level += 1
     return of_node
 
 
@@ -227,32 +246,74 @@ def cluster(df: DataFrame, id_col: str, class_col: str, vec_col: str, threshold:
     both = strong.select("a", "b", "cos").unionByName(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
     edges = materialize(both.groupBy("a", "b").agg(F.max("cos").cast("double").alias("w")), "edges")
     found = communities(edges)
-    label = nodes.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-    label = materialize(label, "labels")
-    a, b = (label.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
-    labelled = materialize(edges.join(a, "a").join(b, "b"), "labelled")
-    degree = labelled.where("ca = cb").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
-    ranked = label.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
-    chief = ranked.groupBy("community").agg((-F.max(F.struct("degree", (-F.col("node")).alias("neg")))["neg"]).alias("chief"))
-    placed = materialize(label.join(chief, "community").select("node", "chief"), "placed")
-    # exact: a member below the threshold to its representative stands alone
-    near = _cosines(placed.where("node <> chief").select(F.col("node").alias("a"), F.col("chief").alias("b")), nodes)
-    near = near.where(F.col("cos") >= threshold).select(F.col("a").alias("node"), F.col("b").alias("kept"))
-    placed = materialize(placed.join(near, "node", "left").select("node", F.coalesce("kept", "node").alias("chief")), "placed")
-    # representatives that reach the threshold are of one group: those linked in the graph, and near ones
-    chiefs = materialize(nodes.join(placed.select(F.col("chief").alias("id")).distinct(), "id", "left_semi"), "chiefs")
-    ca, cb = (placed.select(F.col("node").alias(x), F.col("chief").alias(f"c{x}")) for x in "ab")
-    linked = edges.join(ca, "a").join(cb, "b").where("ca < cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    linked = _cosines(linked, chiefs).where(F.col("cos") >= threshold).select("a", "b")
-    wider = neighbour_graph(chiefs, trees=TREES + 4, rounds=2, seed=17).where(F.col("cos") >= threshold).select("a", "b")
-    joined = components(linked.unionByName(wider))
-    final = placed.join(joined.withColumnRenamed("node", "chief"), "chief", "left").select("node", F.coalesce("group_id", "chief").alias("g"))
-    out = members.join(final, "node").join(degree, "node", "left").select("g", "id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
+    label = materialize(nodes.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("community", "node").alias("g")), "labels")
+    placed = _represented(label, edges, nodes, threshold)
+    placed = _joined(placed, edges, nodes, threshold)
+    degree = _degrees(placed.select("node", F.col("chief").alias("g")), edges)
+    out = members.join(placed, "node").join(degree, "node", "left").select(F.col("chief").alias("g"), "id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
     out = materialize(out, "grouped")
     first = out.groupBy("g").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size"))
     return out.join(first, "g").select("first_id", "id", "degree", "size"), graph
 
 
+def _degrees(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, degree): weighted degree within the node's group; label (node, g)."""
+    a, b = (label.select(F.col("node").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
+    return edges.join(a, "a").join(b, "b").where("ga = gb").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
+
+
+def _represented(label: DataFrame, edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, chief), materialized: the member of highest degree of each group; who doesn't reach it stands alone."""
+    ranked = label.join(_degrees(label, edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+    chief = ranked.groupBy("g").agg((-F.max(F.struct("degree", (-F.col("node")).alias("neg")))["neg"]).alias("chief"))
+    return _kept(label.join(chief, "g").select("node", "chief"), nodes, threshold, F.col("node"))
+
+
+def _kept(placed: DataFrame, nodes: DataFrame, threshold: float, otherwise: Column) -> DataFrame:
+    """``placed`` (node, chief, ...) with ``otherwise`` as chief where the cosine is below the threshold, materialized."""
+    placed = materialize(placed, "placed")
+    near = _cosines(placed.where("node <> chief").select(F.col("node").alias("a"), F.col("chief").alias("b")), nodes)
+    near = near.where(F.col("cos") >= threshold).select(F.col("a").alias("node"), F.col("b").alias("near"))
+    kept = placed.join(near, "node", "left").select("node", F.when((F.col("node") == F.col("chief")) | F.col("near").isNotNull(), F.col("chief")).otherwise(otherwise).alias("chief"))
+    return materialize(kept, "placed")
+
+
+def _joined(placed: DataFrame, edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Representatives of lower degree led to those they reach, until none reaches another; then their members, where they reach it too."""
+    rank = _degrees(placed.select("node", F.col("chief").alias("g")), edges)
+    chiefs = placed.select(F.col("chief").alias("id")).distinct().join(rank.withColumnRenamed("node", "id"), "id", "left")
+    chiefs = materialize(nodes.join(chiefs.select("id", F.coalesce("degree", F.lit(0.0)).alias("degree")), "id"), "chiefs")
+    led = materialize(chiefs.select(F.col("id").alias("chief"), F.col("id").alias("top")), "led")
+    rounds = 0
+    while True:
+        near = neighbour_graph(chiefs, trees=TREES + 4, seed=17 + rounds).where(F.col("cos") >= threshold).select("a", "b")
+        if rounds == 0:  # the graph's own edges know some more
+            ca, cb = (placed.select(F.col("node").alias(x), F.col("chief").alias(f"c{x}")) for x in "ab")
+            linked = edges.join(ca, "a").join(cb, "b").where("ca < cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            near = near.unionByName(_cosines(linked, chiefs).where(F.col("cos") >= threshold).select("a", "b"))
+        near = materialize(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near")
+        if near.isEmpty():
+            break
+        mine, other = (chiefs.select(F.col("id").alias(x), F.struct("degree", (-F.col("id")).alias("neg")).alias(f"r{x}")) for x in "ab")
+        up = near.join(mine, "a").join(other, "b").where("rb > ra")
+        heads = chiefs.select(F.col("id").alias("b")).join(up.select(F.col("a").alias("b")), "b", "left_anti")  # reach none of higher degree
+        step = up.join(heads, "b", "left_semi").groupBy("a").agg((-F.max("rb")["neg"]).alias("to"))
+        step = materialize(step.select(F.col("a").alias("top"), "to"), "step")
+        wider = materialize(led.join(step, "top", "left").select("chief", F.coalesce("to", "top").alias("top")), "led")
+        fewer = materialize(chiefs.join(step.select(F.col("top").alias("id")), "id", "left_anti"), "chiefs")
+        discard(led, near)
+        led, chiefs, rounds = wider, fewer, rounds + 1
+    moved = placed.join(led, "chief").select("node", F.col("top").alias("chief"), F.col("chief").alias("former"))
+    kept = materialize(moved, "moved")
+    near = _cosines(kept.where("node <> chief and chief <> former").select(F.col("node").alias("a"), F.col("chief").alias("b")), nodes).where(F.col("cos") >= threshold).select(F.col("a").alias("node"), F.lit(True).alias("near"))
+    kept = materialize(kept.join(near, "node", "left").select("node", "chief", "former", (F.col("near").isNotNull() | (F.col("chief") == F.col("former")) | (F.col("node") == F.col("chief"))).alias("fits")), "fits")
+    out = kept.where("fits").select("node", "chief")
+    left = kept.where("not fits").select("node", F.col("former").alias("g"))
+    if left.isEmpty():
+        return out
+    return materialize(out.unionByName(_represented(left, edges, nodes, threshold)), "placed")
+
+
 def group_rows(df: DataFrame, id_col: str, class_col: str, vec_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(first_id, id): every row of a group but its smallest."""
     return cluster(df, id_col, class_col, vec_col, threshold)[0].where("id > first_id").select("first_id", "id")
