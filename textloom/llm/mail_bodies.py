@@ -3,10 +3,17 @@
 Every body is exploded into lines.  Windows over a mail's lines find what is quoted (prefixed lines,
 introductions, everything below a forwarding or reply header), paragraphs that open like a
 disclaimer, and signatures (closing formulas, the sender's name or initials and the contact lines below).
-Two rules use the whole collection: a line counts for the sender who wrote it first within the thread, by
-date, and lines that a sender repeats below the closings of several mails are a signature.  Both are windows
-over rows aggregated by (thread, line, sender) or (sender, line, mail) before, so mails delivered many times
-weigh no more than one.
+What the forms leave live is judged by windows over the whole collection, which know no words:
+
+* a line counts for the participant who wrote it first in its thread, by date (those who write to each other, where the
+  header names anybody), unless it occurs in ``COMMON`` threads and so is nobody's;
+* lines that end a good part of a sender's mails are the sender's signature, and so are name and initials of the header;
+* lines that mostly stand right above their senders' signatures are closings, and lines that mostly stand below them
+  are notices, if enough senders have them.
+
+The lists of closings, disclaimers and devices only serve what no window can know, such as the only mail of a sender.  All
+windows run over rows aggregated by (thread, line, sender), (sender, line) or line before, so mails delivered many times weigh no
+more than one.
 
 Defined results: null and blank contents give no line; line_no counts all lines from 0; mails sent twice
 are judged each; mails of one date are ranked by their identifier; without sender or title only the rules
@@ -20,10 +27,14 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-#: Lines shorter than this (letters and digits) are too common to be led to an earlier author.
-AUTHORED_LENGTH = 40
-#: Mails in which a sender repeats a line below the closing, for it to be a signature.
-RECURRENT = 3
+#: Threads that have a line, for it to be nobody's.
+COMMON = 5
+#: Mails that a sender ends with a line, and their part of all the sender's mails, for it to be a signature.
+RECURRENT, RECURRENT_PART = 3, 0.1
+#: Part of a line's places that must be at the end of mails, for it to be a signature or notice.
+ENDING = 0.8
+#: Senders of a line that is a closing or notice, and part of its places right above their signatures.
+SENDERS, ABOVE = 5, 0.5
 
 QUOTED = r"^(\t| *>| *\|( |$)| *:( |$|>))"
 TABLE_ROW = r"^ *\|\s*[^|\s][^|]*(\|[^|]*){2}\|"
@@ -64,14 +75,20 @@ def _first_of(kg: Column, value: str) -> Column:
     return F.array_join(F.get(triple, F.lit(0))["subject"]["content"], " ")
 
 
+def _all_of(kg: Column, link: str) -> Column:
+    """Values of the header triples of that property."""
+    triple = F.filter(kg, lambda t: F.array_join(t["property"]["content"], " ") == link)
+    return F.coalesce(F.transform(triple, lambda t: F.array_join(t["value"]["content"], " ")), F.array().cast("array<string>"))
+
+
 def _lines(mails: DataFrame, id_col: str) -> DataFrame:
     sent = F.try_to_timestamp(F.regexp_extract(F.coalesce(_first_of(F.col("kg"), "date"), F.lit("")), r"(\d{1,2} \w{3} \d{4} \d\d:\d\d:\d\d)", 1), F.lit("d MMM yyyy HH:mm:ss"))
     thread = F.nullif(F.trim(F.lower(F.regexp_replace("title", r"(?i)^\s*((re|aw|fw|fwd|wg|tr)\s*:\s*)+", ""))), F.lit(""))
     base = mails.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("mail"), F.coalesce("source_doc_id", F.lit("")).alias("source"), thread.alias("thread"), F.nullif(_first_of(F.col("kg"), "person"), F.lit("")).alias("sender"),
-        F.coalesce(sent, F.col("ingested_at").cast("timestamp")).alias("sent"), F.concat_ws("\n", "content").alias("body"),
+        F.coalesce(sent, F.col("ingested_at").cast("timestamp")).alias("sent"), F.concat_ws("\n", "content").alias("body"), _all_of(F.col("kg"), "rel:mailto").alias("recipients"),
     )
-    return base.select("mail", "source", "thread", "sender", "sent", F.posexplode(F.split("body", "\n")).alias("line_no", "raw")).withColumn("raw", F.regexp_replace("raw", r"\s+$", "")).withColumn("t", F.trim("raw"))
+    return base.select("mail", "source", "thread", "sender", "sent", "recipients", F.posexplode(F.split("body", "\n")).alias("line_no", "raw")).withColumn("raw", F.regexp_replace("raw", r"\s+$", "")).withColumn("t", F.trim("raw"))
 
 
 def mark_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
@@ -114,30 +131,60 @@ def mark_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
     rows = rows.withColumns({"live": live, "closing": live & t.rlike(CLOSING), "sign": sign, "notice": live & (t.rlike(DEVICE) | t.rlike(LIST_NOTICE) | t.rlike(GATEWAY)), "disclaimer": live & opening.rlike(DISCLAIMER)})
     # "--" closes nothing by itself, but opens a signature in its paragraph
     rows = rows.withColumn("opens", F.min(F.when(F.col("sign"), F.col("line_no"))).over(para)).withColumn("warns", F.min(F.when(F.col("disclaimer"), F.col("line_no"))).over(para))
-    rows = rows.withColumn("tail", F.min(F.when(F.col("closing") | F.col("sign"), F.col("line_no"))).over(whole))
     contact = t.rlike(CONTACT) | ((F.length(t) < 60) & ~t.rlike(r"[.?!;]$"))
     below = F.coalesce(F.col("line_no") > F.col("opens"), F.lit(False)) & contact
     kind = (
         F.when(F.col("blank"), "blank").when(F.col("quoted") | F.col("old"), "quoted").when(F.col("intro"), "header").when(t.rlike(SEPARATOR), "separator")
         .when(F.col("notice") | F.coalesce(F.col("line_no") >= F.col("warns"), F.lit(False)), "notice").when(F.col("closing"), "closing").when(F.col("sign") | below | t.rlike(CONTACT), "signature").otherwise("new")
     )
-    return rows.select("mail", "source", "thread", "sender", "sent", "line_no", t.alias("text"), kind.alias("kind"), F.coalesce(F.col("line_no") > F.col("tail"), F.lit(False)).alias("below_closing"))
+    return rows.select("mail", "source", "thread", "sender", "sent", "recipients", "line_no", t.alias("text"), kind.alias("kind"), named.alias("named"))
 
 
-def new_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
-    """(mail, line_no, text) of the lines newly written by the sender."""
+def judged_lines(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
+    """(mail, line_no, text, kind, window): live lines, kind by form and list, window the rule over the collection that refuses it or null."""
     key = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
-    # written once: three rules read it, and its windows are the costly part
-    rows = materialize(mark_lines(mails, id_col).where("kind = 'new'").withColumn("key", key).drop("kind"), "new-lines")
-    # first-authored: the sender who wrote the line first in the thread
-    written = rows.where(F.col("thread").isNotNull() & F.col("sender").isNotNull() & (F.length("key") >= AUTHORED_LENGTH)).groupBy("thread", "key", "sender").agg(F.min(F.struct("sent", "mail")).alias("m"))
-    by_date = Window.partitionBy("thread", "key").orderBy("m", "sender")
-    later = written.withColumn("rank", F.row_number().over(by_date)).where("rank > 1").select("thread", "key", "sender", F.lit(True).alias("_later"))
-    # recurrent below the closing
-    repeated = rows.where(F.col("below_closing") & F.col("sender").isNotNull() & (F.length("key") > 0)).select("sender", "key", "source").distinct()
-    recurrent = repeated.groupBy("sender", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURRENT).select("sender", "key", F.lit(True).alias("_recurrent"))
-    out = rows.join(later, ["thread", "key", "sender"], "left").join(recurrent, ["sender", "key"], "left")
-    return out.where(F.col("_later").isNull() & (F.col("_recurrent").isNull() | ~F.col("below_closing"))).select("mail", "line_no", "text")
+    live = mark_lines(mails, id_col).where(F.col("kind").isin("new", "closing", "signature", "notice")).withColumn("key", key)
+    of_mail = Window.partitionBy("mail").orderBy("line_no")
+    up = Window.partitionBy("mail").orderBy(F.desc("line_no"))
+    live = live.withColumn("from_end", F.row_number().over(up)).withColumn("ends", F.col("from_end") < F.row_number().over(of_mail))
+    # written once: the rules read it, and the windows before are the costly part
+    rows = materialize(live.drop("from_end"), "live-lines")
+    keyed = rows.where("key <> ''")
+
+    # first-authored: the participant who wrote the line first in its thread
+    written = keyed.where("thread is not null and sender is not null").groupBy("thread", "key", "sender").agg(F.min(F.struct("sent", "mail")).alias("m"), F.array_distinct(F.flatten(F.collect_set("recipients"))).alias("to"))
+    shared = written.groupBy("key").agg(F.countDistinct("thread").alias("threads"), F.count(F.lit(1)).alias("n")).where((F.col("threads") < COMMON) & (F.col("n") > 1)).select("key")
+    first = Window.partitionBy("thread", "key").orderBy("m", "sender")
+    author, to = F.first("sender").over(first), F.first("to").over(first)
+    later = written.join(shared, "key").withColumn("author", author).withColumn("author_to", to)
+    later = later.where((F.col("author") != F.col("sender")) & (F.array_contains("to", F.col("author")) | F.array_contains("author_to", F.col("sender")) | ((F.size("to") == 0) & (F.size("author_to") == 0)))).select("thread", "key", "sender", F.lit(True).alias("_later"))
+
+    # recurrent: what ends a good part of the sender's mails
+    mails_of = rows.where("sender is not null").groupBy("sender").agg(F.countDistinct("source").alias("mails"))
+    once = keyed.where("sender is not null").groupBy("sender", "key", "source").agg(F.max(F.col("ends").cast("int")).alias("ends"))
+    often = once.groupBy("sender", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("ends").alias("ending")).join(mails_of, "sender")
+    often = often.where((F.col("ending") >= RECURRENT) & (F.col("ending") >= RECURRENT_PART * F.col("mails")) & (F.col("ending") >= ENDING * F.col("n"))).select("sender", "key", F.lit(True).alias("_recurrent"))
+    rows = materialize(rows.join(later, ["thread", "key", "sender"], "left").join(often, ["sender", "key"], "left"), "judged-lines")
+
+    # closings and notices by their places around the signatures
+    signed = F.coalesce((F.col("_recurrent") & F.col("ends")) | F.col("named"), F.lit(False))
+    placed = rows.withColumn("signed", signed).withColumn("above", ~F.col("signed") & F.coalesce(F.lead("signed").over(of_mail), F.lit(False)))
+    placed = placed.withColumn("below", ~F.col("signed") & F.coalesce(F.max("signed").over(of_mail.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).withColumn("has", F.max("signed").over(Window.partitionBy("mail")))
+    told = placed.where("key <> '' and sender is not null and not signed").groupBy("key", "sender").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in ("above", "below", "has")])
+    told = told.groupBy("key").agg(F.count(F.lit(1)).alias("senders"), *[F.sum(c).alias(c) for c in ("above", "below", "has")]).where(F.col("senders") >= SENDERS)
+    closing = (F.col("above") >= ABOVE * F.col("senders")) & (F.col("above") >= RECURRENT)
+    below = (F.col("below") >= ENDING * F.col("has")) & (F.col("below") >= RECURRENT)
+    told = told.where(closing | below).select("key", F.when(closing, "closing").otherwise("notice").alias("_told"))
+    out = placed.join(told, "key", "left")
+    at_place = (F.col("_told") == "notice") | F.col("above") | F.col("ends")
+    window = F.when(F.col("_later"), "first author").when(F.col("signed"), "signature").when(F.coalesce(at_place, F.lit(False)), F.col("_told"))
+    return out.select("mail", "line_no", "text", "kind", window.alias("window"))
+
+
+def new_lines(mails: DataFrame, id_col: str = "mail_id", lists: bool = True) -> DataFrame:
+    """(mail, line_no, text) of the lines newly written by the sender; without ``lists`` by forms of quotation and the windows alone."""
+    rows = judged_lines(mails, id_col).where("window is null")
+    return (rows.where("kind = 'new'") if lists else rows).select("mail", "line_no", "text")
 
 
 def new_bodies(mails: DataFrame, id_col: str = "mail_id") -> DataFrame:
