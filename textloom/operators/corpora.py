@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of speech whose lemmas are masked (fixed values).
-FUNCTION_POS = ("ADP", "AUX", "CCONJ", "CONJ", "DET", "INTJ", "PART", "PRON", "PUNCT", "SCONJ", "SYM", "X")
+FUNCTION_POS = ("ADP", "AUX", "CCONJ", "DET", "NUM", "PART", "SCONJ", "PRON", "PUNCT", "SYM", "INTJ")
+#: Lemmas of these characters alone are masked too.
+_MARKS = r"""^[!-/:-@\[-`{-~]*$"""
 
 
 def mask_lemmas(tokens: Column) -> Column:
-    """Lemmas in order, those of function words and marks as '_'."""
-    return F.array_join(F.transform(tokens, lambda t: F.when(F.coalesce(t["pos"].isin(*FUNCTION_POS), F.lit(True)), "_").otherwise(F.coalesce(t["lemma"], F.lit("_")))), " ")
+    """Lemmas in order, those of function words, of unknown parts of speech and of marks as '_'."""
+    hidden = lambda t: F.coalesce(t["pos"].isin(*FUNCTION_POS), F.lit(True)) | F.coalesce(t["lemma"].rlike(_MARKS), F.lit(False))
+    return F.array_join(F.transform(tokens, lambda t: F.when(hidden(t), "_").otherwise(F.coalesce(t["lemma"], F.lit("_")))), " ")
 
 
 def tags_at(length: Column, start: Column, end: Column, tag: Column) -> Column:

@@ -24,6 +24,12 @@ def usable(df: DataFrame, vec: str, dim: int = 64) -> DataFrame:
     return df.where((F.size(v) == dim) & finite & F.exists(vec, lambda x: x != 0))
 
 
+def mean_vectors(df: DataFrame, by: str, vec: str) -> DataFrame:
+    """(by, dim, n, mean): mean vector of each group, a row for each dimension; partial sums before the shuffle, so no group is gathered."""
+    numbers = df.select(by, F.posexplode(vec).alias("dim", "x"))
+    return numbers.groupBy(by, "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
 def _best_of_task(queries_b, k: int):
     """The k best of a task's rows for every query: blocks of products, then only the best are kept."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,7 +17,6 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import pipelines as P
 from .registry import register
-from .fixtures import TREEBANK
 from .knowledge_queries import _TAGGED
 
 
@@ -50,28 +49,37 @@ select source_doc_id, md5(case when error then '' else trim(regexp_replace(regex
 
 
 def _mail_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mails written as messages and read again: the header's triples."""
-    m = load(spark, sf_dir, "mail_docs").where("title is not null")
-    text = F.concat(F.lit("From: A Sender <a.sender@post.example>\nTo: B Reader <b.reader@post.example>\nSubject: "), F.regexp_replace("title", r"[^\x20-\x7e]|[\r\n]", ""), F.lit("\n\nbody"))
-    return R.mails(m.select("mail_id", text.alias("raw")), "mail_id", "raw").select(F.col("source_doc_id").cast("bigint").alias("mail_id"), F.explode("triples").alias("t")).select("mail_id", "t.*")
+    """Mails written as messages from their own headers and bodies, and read again: the header's triples."""
+    m = load(spark, sf_dir, "mail_docs").where("kg is not null")
+    text = lambda e: F.array_join(e["content"], " ")
+    of = lambda p, o: F.transform(F.filter("kg", lambda t: (text(t["property"]) == p) & (F.lit(o is None) | (text(t["value"]) == F.lit(o)))), lambda t: text(t["subject" if o else "value"]))
+    person, address, sent, to = of("rel:instanceof", "person"), of("rel:instanceof", "email"), of("rel:instanceof", "date"), of("rel:mailto", None)
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    head = F.concat(F.lit("From: "), first(person), F.lit(" <"), first(address), F.lit(">\nTo: "), F.array_join(to, ", "), F.lit("\nDate: "), first(sent))
+    raw = F.concat(head, F.lit("\nSubject: "), F.regexp_replace(F.coalesce("title", F.lit("")), r"[^\x20-\x7e]", ""), F.lit("\n\n"), F.concat_ws("\n", "content"))
+    return R.mails(m.select("mail_id", raw.alias("raw")), "mail_id", "raw").select(F.col("source_doc_id").cast("bigint").alias("mail_id"), F.explode("triples").alias("t")).select("mail_id", "t.*")
 
 
-register("mail_header_triples", _mail_envelopes, "select mail_id, unnest(['A Sender', 'a.sender@post.example', 'b.reader@post.example', 'A Sender']) as s, unnest(['rel:instanceof', 'rel:instanceof', 'rel:instanceof', 'rel:mailto']) as p, unnest(['person', 'email', 'email', 'B Reader']) as o from mail_docs where title is not null")
+register("mail_header_triples", _mail_envelopes, """select distinct mail_id, array_to_string(t.subject.content, ' ') as s, array_to_string(t.property.content, ' ') as p, array_to_string(t."value".content, ' ') as o
+from (select mail_id, unnest(kg, max_depth := 1) as t from mail_docs)""")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of HTML and back: titles and headings."""
-    html = F.concat(F.lit("<html><head><title> "), F.coalesce("title", F.lit("")), F.lit(" </title></head><body><nav>menu</nav><h1>"), F.coalesce("source", F.lit("")), F.lit("</h1><p>text</p><script>x = 1</script><h2>End</h2></body></html>"))
+    """Documents as pages of HTML, a paragraph for each line, and back: titles, headings and the whole text."""
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[<>]", " ")
+    body = F.array_join(F.transform(F.split(plain("text"), "\n"), lambda x: F.concat(F.lit("<p class='x'>"), x, F.lit("</p>"))), "\n")
+    html = F.concat(F.lit("<html><head><title> "), plain("title"), F.lit(" </title></head><body><nav>menu</nav><h1>"), plain("source"), F.lit("</h1>"), body, F.lit("<script>x = 1</script></body></html>"))
     d = load(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
-    return R.pages(d, "doc_id", "html").select("source_doc_id", "title", F.array_join(F.transform("triples", lambda t: t["s"]), "|").alias("headings"), F.length(F.col("content")[0]).alias("length"))
+    return R.pages(d, "doc_id", "html").select("source_doc_id", "title", F.array_join(F.transform("triples", lambda t: t["s"]), "|").alias("headings"), F.md5(F.col("content")[0]).alias("digest"))
 
 
-register("html_pages", _pages, r"""select cast(doc_id as varchar) as source_doc_id, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')) as title, coalesce(source, '') || '|End' as headings, length(trim(regexp_replace(coalesce(title, '') || ' ' || coalesce(source, '') || ' text End', '\s+', ' ', 'g'))) as length from documents""")
+register("html_pages", _pages, r"""with d as (select doc_id, regexp_replace(coalesce(title, ''), '[<>]', ' ', 'g') as t, coalesce(source, '') as s, regexp_replace(coalesce("text", ''), '[<>]', ' ', 'g') as x from documents)
+select cast(doc_id as varchar) as source_doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) as title, s as headings, md5(trim(regexp_replace(t || ' ' || s || ' ' || x, '\s+', ' ', 'g'))) as digest from d""")
 register("exclude_antijoin", lambda s, d: I.not_yet_done(load(s, d, "documents").select("doc_id", "source"), load(s, d, "subject_labels").select("doc_id"), "doc_id"), "select doc_id, source from documents where doc_id not in (select doc_id from subject_labels where doc_id is not null)")
 register("upsert_latest", lambda s, d: I.upsert_latest(load(s, d, "converted_docs").where("source_doc_id is not null"), ["source_doc_id"], [F.desc("ingested_at"), F.desc("record_id")]).select("source_doc_id", "record_id"), "select source_doc_id, record_id from converted_docs where source_doc_id is not null qualify row_number() over (partition by source_doc_id order by ingested_at desc, record_id desc) = 1")
 register("delete_by_id", lambda s, d: I.delete_by_id(load(s, d, "converted_docs"), load(s, d, "converted_docs").where("error"), "source_doc_id").select("record_id"), "select record_id from converted_docs where source_doc_id is null or source_doc_id not in (select source_doc_id from converted_docs where error and source_doc_id is not null)")
 register("merge_rows", lambda s, d: W.merge_latest(load(s, d, "nation").select("n_nationkey", "n_name"), load(s, d, "nation").select("n_nationkey", F.upper("n_name").alias("n_name")).where("n_nationkey < 5"), "n_nationkey"), "select cast(n_nationkey as bigint) as n_nationkey, case when n_nationkey < 5 then upper(n_name) else n_name end as n_name from nation")
-register("conll_mask", lambda s, d: load(s, d, "tagged_docs").select("tagged_id", F.coalesce(C.mask_lemmas(F.col("content_morphosyntax")), F.lit("")).alias("masked")), "select tagged_id, coalesce(array_to_string([case when coalesce(t.pos in (" + ", ".join(f"'{p}'" for p in C.FUNCTION_POS) + "), true) then '_' else coalesce(t.lemma, '_') end for t in content_morphosyntax], ' '), '') as masked from tagged_docs")
+register("conll_mask", lambda s, d: load(s, d, "tagged_docs").select("tagged_id", F.coalesce(C.mask_lemmas(F.col("content_morphosyntax")), F.lit("")).alias("masked")), "select tagged_id, coalesce(array_to_string([case when coalesce(t.pos in (" + ", ".join(f"'{p}'" for p in C.FUNCTION_POS) + r"""), true) or coalesce(regexp_full_match(t.lemma, '[!-/:-@\[-`{-~]*'), false) then '_' else coalesce(t.lemma, '_') end""" + " for t in content_morphosyntax], ' '), '') as masked from tagged_docs")
 
 
 def _event_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +98,11 @@ select emb_id, case when n is null then '' else repeat('O', greatest(least(a, n)
 from (select emb_id, a, z, coalesce(l.n, z, 0) as n from e left join l using (source_doc_id))""")
 register("label_map", lambda s, d: C.map_labels(load(s, d, "relation_names").select("relation_id", "triple_type"), "triple_type", {"subject": "subj", "object": "obj", "keyword": None}), "select relation_id, case triple_type when 'subject' then 'subj' when 'object' then 'obj' else triple_type end as triple_type from relation_names where triple_type is not null and triple_type <> 'keyword'")
 register("stratify", lambda s, d: C.stratify(load(s, d, "documents").join(load(s, d, "subject_labels").select("doc_id", "subject").distinct(), "doc_id"), ["lang", "subject"], "doc_id"), "select lang, subject, count(*) as n, min(doc_id) as first, max(doc_id) as last from documents join (select distinct doc_id, subject from subject_labels) using (doc_id) group by lang, subject")
-register("file_language", lambda s, d: load(s, d, "converted_docs").where("source_doc_id is not null").select("record_id", T.file_language(F.concat(F.lit("/x/fr_"), F.col("record_id").cast("string"), F.lit(".conllu"))).alias("language")), "select record_id, 'fr' as language from converted_docs where source_doc_id is not null")
+_FILE = ("coalesce(lang, 'xx')", "cast(doc_id as string)")
+register(
+    "file_language", lambda s, d: load(s, d, "documents").select("doc_id", T.file_language(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/x_y/"), F.expr(_FILE[0]), F.lit("_"), F.expr(_FILE[1]), F.lit(".conllu"))).otherwise(F.concat(F.lit("/x/corpus-part-"), F.expr(_FILE[0]), F.lit("-"), F.expr(_FILE[1])))).alias("language")),
+    "select doc_id, coalesce(lang, 'xx') as language from documents",
+)
 register(
     "svo_adjacent", lambda s, d: C.adjacent_triples(K.tagged_tokens(load(s, d, "tagged_docs"), "tagged_id", "content_morphosyntax")),
     f"""with {_TAGGED},
@@ -122,9 +134,18 @@ register("file_stream_dedup", _stream_dedup, """select distinct 'doc-' || md5("t
 
 
 def _syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependency triples of a small treebank."""
-    rows = spark.createDataFrame(TREEBANK, "sent_id string, id int, form string, lemma string, upos string, head int, deprel string")
-    return C.syntax_triples(rows, ["sent_id"])
-
-
-register("syntax_triples", _syntax, "select * from (values ('1', 'engineer', 'check', 'line'), ('2', 'nurse', 'read', 'note'), ('2', 'nurse', 'sign', 'report')) as t(sent_id, subject, verb, object)")
+    """Triples over dependency rows of all tagged sentences, heads by place: the first verb is the root, the last noun before it its subject, the first behind its object."""
+    t = K.tagged_tokens(load(spark, sf_dir, "tagged_docs"), "tagged_id", "content_morphosyntax")
+    w = Window.partitionBy("doc", "sent")
+    noun, at = F.coalesce(F.col("pos").isin("NOUN", "PROPN"), F.lit(False)), F.col("pos_no")
+    t = t.withColumn("root", F.min(F.when(F.col("pos") == "VERB", at)).over(w))
+    t = t.withColumns({"subject": F.max(F.when(noun & (at < F.col("root")), at)).over(w), "object": F.min(F.when(noun & (at > F.col("root")), at)).over(w)})
+    link = F.when(at == F.col("root"), "root").when(at == F.col("subject"), "nsubj").when(at == F.col("object"), "obj").otherwise("dep")
+    rows = t.where("root is not null").select("doc", "sent", at.alias("id"), F.col("text").alias("form"), "lemma", F.coalesce("pos", F.lit("X")).alias("upos"), F.when(at == F.col("root"), -1).otherwise(F.col("root")).alias("head"), link.alias("deprel"))
+    return C.syntax_triples(rows, ["doc", "sent"])
+
+
+register("syntax_triples", _syntax, f"""with {_TAGGED},
+r as (select *, min(case when pos = 'VERB' then pos_no end) over (partition by doc, sent) as root from t),
+p as (select doc, sent, any_value(root) as v, max(case when pos in ('NOUN', 'PROPN') and pos_no < root then pos_no end) as a, min(case when pos in ('NOUN', 'PROPN') and pos_no > root then pos_no end) as b from r where root is not null group by doc, sent)
+select p.doc, p.sent, s.text as subject, v.lemma as verb, o.text as object from p join t s on s.doc = p.doc and s.pos_no = a join t v on v.doc = p.doc and v.pos_no = p.v join t o on o.doc = p.doc and o.pos_no = b""")

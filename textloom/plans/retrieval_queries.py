@@ -30,6 +30,21 @@ scored as (
 _TOP = "row_number() over (partition by qid order by score desc, doc_id)"
 
 
+#: Index tables by session and state of the documents: what a search service keeps between queries.
+_STORED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _state(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of the files a table is read from."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    out = []
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return out
+
+
 class _Index:
     """The index tables of one folder; postings that are read more than once are written before."""
 
@@ -42,8 +57,13 @@ class _Index:
         self.terms = R.query_terms(self.queries)
 
     def stored(self) -> _Index:
-        self.posts = materialize(I.stored_postings(self.docs, "doc_id", "text"), "postings")
-        self.dl = materialize(self.dl, "lengths")
+        """Postings and lengths as tables, written once for a session and state of the documents' files."""
+        spark = self.docs.sparkSession
+        key = (spark.sparkContext.applicationId, *_state(self.docs))
+        if key not in _STORED:
+            posts = materialize(I.stored_postings(self.docs, "doc_id", "text"), "postings")
+            _STORED[key] = posts, materialize(self.dl, "lengths")
+        self.posts, self.dl = _STORED[key]
         return self
 
     def found(self) -> DataFrame:

@@ -144,8 +144,12 @@ register(
     f"with u as ({_USABLE}), p as (select a.emb_id as qid, b.emb_id as id, round(list_dot_product(a.v::double[], b.v::double[]) / (sqrt(list_dot_product(a.v::double[], a.v::double[])) * sqrt(list_dot_product(b.v::double[], b.v::double[]))), 6) as cos from u a, u b where a.emb_id % 20 = 0) select qid, id, cos, row_number() over (partition by qid order by cos desc, id) as rank from p qualify rank <= 10",
 )
 register(
-    "mean_pooling", lambda s, d: V.usable(load(s, d, "doc_embeddings"), "embedding").where("source_doc_id is not null").groupBy("source_doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("first"), F.round(F.avg(F.col("embedding")[63].cast("double")), 6).alias("last")),
-    f"with u as ({_USABLE}) select source_doc_id, count(*) as n, round(avg(v[1]::double), 6) as first, round(avg(v[64]::double), 6) as last from u join doc_embeddings using (emb_id) where source_doc_id is not null group by 1",
+    "mean_pooling", lambda s, d: V.mean_vectors(V.usable(load(s, d, "doc_embeddings"), "embedding").where("source_doc_id is not null"), "source_doc_id", "embedding"),
+    f"with u as ({_USABLE}), e as (select source_doc_id, unnest(v) as x, unnest(range(0, 64)) as dim from u join doc_embeddings using (emb_id) where source_doc_id is not null) select source_doc_id, cast(dim as int) as dim, count(*) as n, round(avg(x::double), 6) as mean from e group by source_doc_id, dim",
+)
+register(
+    "masked_pooling", lambda s, d: V.usable(load(s, d, "doc_embeddings"), "embedding").select("emb_id", F.array_join(F.transform(T.mean_pool(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8)), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.get("embedding", k * 8) > 0).cast("int"))), lambda x: F.format_number(x + F.lit(1e-9), 5)), " ").alias("pooled")),
+    f"with u as ({_USABLE}), k as (select emb_id, v, [i for i in range(0, 8) if v[i * 8 + 1] > 0] as kept from u) select emb_id, case when len(kept) = 0 then null else array_to_string([format('{{:,.5f}}', list_sum([v[i * 8 + j]::double for i in kept]) / len(kept) + 1e-9) for j in range(1, 9)], ' ') end as pooled from k",
 )
 
 
@@ -195,8 +199,8 @@ m as (select qid, k, round(p, 6) as precision, round(r, 6) as recall, round(coal
 """
 for _m in ("precision", "recall", "f1", "ndcg", "map", "mrr", "mean_score"):
     register(f"ir_{_m}", lambda s, d, m=_m: E.metrics(*_run_and_qrels(s, d)).select("qid", "k", m), f"{_EVAL} select qid, k, {_m} from m")
-register("ir_gini", lambda s, d: E.metrics(*_run_and_qrels(s, d)).select("qid", "k", F.round("gini", 1).alias("gini")), f"{_EVAL} select qid, k, round(gini, 1) as gini from m")
-register("ir_overall", lambda s, d: E.overall(E.metrics(*_run_and_qrels(s, d)).drop("gini")), f"{_EVAL} select k, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1, round(avg(ndcg), 6) as ndcg, round(avg(map), 6) as map, round(avg(mrr), 6) as mrr, round(avg(mean_score), 6) as mean_score from m group by k")
+register("ir_gini", lambda s, d: E.metrics(*_run_and_qrels(s, d)).select("qid", "k", "gini"), f"{_EVAL} select qid, k, gini from m")
+register("ir_overall", lambda s, d: E.overall(E.metrics(*_run_and_qrels(s, d))), f"{_EVAL} select k, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1, round(avg(ndcg), 6) as ndcg, round(avg(map), 6) as map, round(avg(mrr), 6) as mrr, round(avg(mean_score), 6) as mean_score, round(avg(gini), 6) as gini from m group by k")
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,8 +86,9 @@ def _as_subject(relation: str, kind: str) -> Callable[[Column], Column]:
 
 def header_triples(sender: str = "m.sender", recipients: str = "m.recipients", cc: str = "m.cc", bcc: str = "m.bcc", sent: str = "m.sent") -> Column:
     """Distinct triples of a parsed mail's header: persons, addresses, the date, and who was written to."""
-    from_name = F.trim(F.regexp_replace(F.col(sender), r"<[^>]*>", ""))
-    names = lambda c: F.filter(F.transform(F.split(F.col(c), ","), lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>", ""))), lambda x: x != "")
+    # names stand without the quotation marks that headers may put around them
+    from_name = F.trim(F.regexp_replace(F.col(sender), r'<[^>]*>|"', ""))
+    names = lambda c: F.filter(F.transform(F.split(F.col(c), ","), lambda x: F.trim(F.regexp_replace(x, r'<[^>]*>|"', ""))), lambda x: x != "")
     made = [
         F.transform(F.filter(F.array(from_name), lambda x: x != ""), lambda x: F.struct(x.alias("s"), F.lit("rel:instanceof").alias("p"), F.lit("person").alias("o"))),
         F.transform(F.regexp_extract_all(F.concat_ws(",", sender, recipients, cc, bcc), F.lit(T.EMAIL), F.lit(0)), lambda x: F.struct(x.alias("s"), F.lit("rel:instanceof").alias("p"), F.lit("email").alias("o"))),
