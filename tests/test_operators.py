@@ -195,3 +195,23 @@ def test_policy():
     assert policy.excluding("b", "c").excludes == ("a", "b", "c")
     with pytest.raises(KeyError):
         SearchPolicy().with_text({"nothing": "1"})
+
+
+def test_long_patterns_and_phrases_match(spark):
+    words = [f"w{i}" for i in range(12)]
+    toks = spark.createDataFrame([(1, i, w) for i, w in enumerate(["x", *words, "y"])], "doc_id bigint, pos int, term string")
+    lex = L.build(spark.createDataFrame([(" ".join(words), "long"), ("w3", "short")], "w string, l string"), "w", "l")
+    assert {(r["start"], r["n"]) for r in L.candidate_matches(toks, lex).collect()} == {(1, 12), (4, 1)}
+    assert L.candidate_matches(toks, lex.where("false")).count() == 0
+    table = spark.createDataFrame([("p", words), ("q", words[:2])], "phrase_id string, terms array<string>")
+    assert {(r["phrase_id"], r["start"]) for r in R.phrases(toks, table).collect()} == {("p", 1), ("q", 1)}
+
+
+def test_centroids_move_with_batches(spark):
+    from textloom.streaming import pipelines as P
+
+    batch = spark.createDataFrame([("a", [1.0, 0.0], 1.0), ("a", [3.0, 2.0], 3.0), ("b", [5.0, 5.0], 2.0), (None, [9.0, 9.0], 1.0), ("a", None, 1.0), ("a", [9.0, 9.0], 0.0)], "l string, v array<double>, w double")
+    state = P.update_centroids({}, batch, "l", "v", "w")
+    assert state == {"a": (4.0, [2.5, 1.5]), "b": (2.0, [5.0, 5.0])}
+    again = P.update_centroids(state, batch.where("l = 'b'").withColumn("v", F.array(F.lit(8.0), F.lit(2.0))), "l", "v", "w")
+    assert again == {"a": (4.0, [2.5, 1.5]), "b": (4.0, [6.5, 3.5])}

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..runtime import broadcast_if_small
 
-LONGEST = 7
-
 
 def build(entries: DataFrame, text: str, label: str, weight: str | None = None, exceptions: DataFrame | None = None, fold: bool = True) -> DataFrame:
     """(pattern, key, n, label, weight): lower case, hyphens apart, folded twins, each pattern and label once."""
@@ -44,10 +42,11 @@ def normalize_words(tokens: DataFrame, typos: DataFrame, normal: DataFrame, toke
     return out.withColumn("normalized", F.when(by.isNull(), F.col(token)).otherwise(T.reapply_case(F.col(token), by))).drop("_f1", "_by1", "_f2", "_by2")
 
 
-def candidate_matches(toks: DataFrame, lexicon: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(doc_id, start, n, label, weight) of all patterns in token rows (doc_id, pos, term)."""
+def candidate_matches(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, start, n, label, weight) of all patterns in token rows (doc_id, pos, term); runs of the lengths that the lexicon has."""
+    lengths = sorted(r["n"] for r in lexicon.select("n").distinct().collect())  # a few numbers
     at = Window.partitionBy("doc_id").orderBy("pos")
-    n_grams = [F.struct(F.lit(k).alias("n"), F.concat_ws(" ", "term", *[F.lead("term", i).over(at) for i in range(1, k)]).alias("key"), (F.lead("pos", k - 1).over(at) if k > 1 else F.col("pos")).alias("end")) for k in range(1, longest + 1)]
+    n_grams = [F.struct(F.lit(k).alias("n"), F.concat_ws(" ", "term", *[F.lead("term", i).over(at) for i in range(1, k)]).alias("key"), (F.lead("pos", k - 1).over(at) if k > 1 else F.col("pos")).alias("end")) for k in lengths] or [F.struct(F.lit(0).alias("n"), F.lit("").alias("key"), F.lit(None).cast("int").alias("end"))]
     rows = toks.select("doc_id", "pos", F.array(*n_grams).alias("g")).select("doc_id", "pos", F.explode("g").alias("g")).where(F.col("g.end").isNotNull())
     lex = lexicon.select(F.col("key").alias("_k"), F.col("n").alias("_n"), "label", "weight")
     joined = rows.join(broadcast_if_small(lex), (F.col("g.key") == F.col("_k")) & (F.col("g.n") == F.col("_n")))

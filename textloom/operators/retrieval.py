@@ -60,17 +60,17 @@ def match_and(found: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(size, "qid").where("matched = size").drop("size")
 
 
-def phrases(toks: DataFrame, phrase_table: DataFrame, slop: int = 0, longest: int = 8) -> DataFrame:
+def phrases(toks: DataFrame, phrase_table: DataFrame, slop: int = 0) -> DataFrame:
     """(phrase_id, doc_id, start): places where a phrase's terms follow in order with ``slop`` words between in all.
 
     phrase_table: (phrase_id, terms array).  Each further term is one join on (document, term) with a bound of places.
     """
-    table = phrase_table.where((F.size("terms") > 0) & (F.size("terms") <= longest))
+    table = phrase_table.where(F.size("terms") > 0)
     terms = table.select(F.explode("terms").alias("term")).distinct()
     near = toks.join(broadcast_if_small(terms), "term", "left_semi")
     state = near.join(broadcast_if_small(table), F.col("term") == F.col("terms")[0]).select("phrase_id", "terms", "doc_id", F.col("pos").alias("start"), F.col("pos").alias("at"))
     done = state.where(F.size("terms") == 1)
-    steps = [r["n"] for r in table.select(F.size("terms").alias("n")).distinct().collect()]  # at most ``longest`` numbers
+    steps = [r["n"] for r in table.select(F.size("terms").alias("n")).distinct().collect()]  # a few numbers
     for k in range(1, max(steps, default=1)):
         nxt = near.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("term").alias("t"))
         on = (F.col("doc_id") == F.col("d")) & (F.get("terms", F.lit(k)) == F.col("t")) & (F.col("p") > F.col("at")) & (F.col("p") - F.col("start") <= k + slop)

@@ -1,6 +1,6 @@
 """The engine's front: build an index once, then search, suggest, expand, relate and evaluate.
 
-    engine = Engine.build(documents, "doc_id", "text", kg="kg")
+    engine = Engine.build(documents, "doc_id", "text")
     engine.search(queries, SearchPolicy(size=10))
 """
 

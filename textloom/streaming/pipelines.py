@@ -65,14 +65,15 @@ def sessions(events: DataFrame, time: str, by: str, gap: str = "30 minutes", lat
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def update_centroids(state: dict[str, list[float]], batch: DataFrame, label: str, vec: str, weight: str) -> dict[str, list[float]]:
-    """Centroids moved by a micro-batch: weighted means by label, joined with the state's; a label's state is (total weight, sums)."""
-    parts = batch.select(label, F.col(weight).cast("double").alias("w"), F.posexplode(vec).alias("i", "x")).groupBy(label, "i").agg(F.sum(F.col("x") * F.col("w")).alias("s"), F.sum("w").alias("w"))
-    out = {k: list(v) for k, v in state.items()}
-    for r in parts.collect():  # labels x dimensions
-        own = out.setdefault(str(r[label]), [])
-        own += [0.0] * max(0, 1 + 2 * (r["i"] + 1) - len(own))
-        own[0] = max(own[0], 0.0)
-        own[1 + 2 * r["i"]] += r["s"]
-        own[2 + 2 * r["i"]] += r["w"]
+def update_centroids(state: dict[str, tuple[float, list[float]]], batch: DataFrame, label: str, vec: str, weight: str) -> dict[str, tuple[float, list[float]]]:
+    """Centroids (total weight, mean) by label, moved by a micro-batch's weighted vectors; rows without label, vector or weight above 0 don't count."""
+    rows = batch.where(F.col(label).isNotNull() & F.col(vec).isNotNull() & (F.col(weight) > 0)).select(label, F.col(weight).cast("double").alias("w"), F.posexplode(vec).alias("i", "x"))
+    parts = rows.groupBy(label, "i").agg(F.sum(F.col("x") * F.col("w")).alias("s"), F.sum("w").alias("w")).collect()  # labels x dimensions
+    sums: dict[str, dict[int, tuple[float, float]]] = {}
+    for r in parts:
+        sums.setdefault(str(r[label]), {})[r["i"]] = (r["s"], r["w"])
+    out = dict(state)
+    for k, by_dim in sums.items():
+        before, mean = state.get(k, (0.0, [0.0] * len(by_dim)))
+        out[k] = before + by_dim[0][1], [(m * before + by_dim.get(i, (0.0, 0.0))[0]) / (before + by_dim.get(i, (0.0, 0.0))[1]) for i, m in enumerate(mean)]
     return out
