@@ -28,8 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialize(_star(_star(edges, True), False), "star")
         # a fixed point has every node hung on one root that hangs on none
         if after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and after.groupBy("a").count().where("count > 1").isEmpty():
-            edges = after
             break
         edges = after
+    else:
+        raise RuntimeError(f"components don't settle in {ROUNDS} rounds")
+    edges = after
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("group_id"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("group_id")).unionByName(roots)
