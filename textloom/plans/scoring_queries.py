@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import index as I
+from ..operators import ranking as K
 from ..operators import retrieval as R
 from ..operators import scoring as S
 from ..operators import vectors as V
@@ -175,9 +176,9 @@ register("embedding_offsets", _offsets, 'select emb_id, cast(coalesce(sum(coales
 
 # evaluation: documents of the passages' words as judgements of the questions' run
 def _run_and_qrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    x = _Index(spark, sf_dir).stored()
-    run = R.page(x.found(), size=500).select("qid", "rank", "doc_id", "score")
-    judged = R.page(R.match_or(x.posts, x.dl, R.query_terms(x.queries, text="description")), size=20).join(x.queries.select("qid", F.coalesce("relevance", F.lit(1)).alias("rel")), "qid")
+    x = _Index(spark, sf_dir)
+    run, described = K.best(x.docs, "doc_id", "text", [(x.terms, 500), (R.query_terms(x.queries, text="description"), 20)])
+    judged = described.join(x.queries.select("qid", F.coalesce("relevance", F.lit(1)).alias("rel")), "qid")
     return run, judged.select("qid", "doc_id", "rel")
 
 
