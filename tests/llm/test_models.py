@@ -145,6 +145,37 @@ def test_communities_settle_or_raise(spark, monkeypatch):
         similarity_groups.communities(edges)
 
 
+def test_communities_of_few_edges_move_in_one_task(spark, monkeypatch):
+    """p3_found: a job for each move filled the driver's memory; the same moves are made by joins where edges are many."""
+    rng = np.random.default_rng(4)
+    pairs = {(int(a), int(b)) for g in range(12) for a, b in rng.integers(40 * g - 500, 40 * g - 452, (150, 2)) if a < b}
+    both = [(x, y, 0.8 + (a * 7 + b) % 13 / 64) for a, b in pairs for x, y in ((a, b), (b, a))]
+    edges = spark.createDataFrame(both, "a bigint, b bigint, w double")
+
+    def moved(group):
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r["node"]: r["community"] for r in similarity_groups.communities(edges).collect()}
+        spark.sparkContext.setJobGroup("", "")
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    together, jobs = moved("together")
+    assert jobs < 20 and 1 < len(set(together.values())) < len(together) / 3
+    with monkeypatch.context() as m:
+        m.setattr(similarity_groups, "TOGETHER", 0)
+        by_joins, more = moved("by joins")
+    assert together == by_joins and more > 3 * jobs
+    monkeypatch.setattr(similarity_groups, "TOGETHER", len(both) // 2)  # from the second level on
+    assert moved("from the second level")[0] == together
+    assert similarity_groups.communities(edges.limit(0)).count() == 0
+
+
+def test_turns_are_those_of_spark(spark):
+    ids = [0, 1, -1, 7, 123456789012, -(2**63), 2**63 - 1, *range(50, 90)]
+    for x in (0, 3, 1000, 2**31 - 1):
+        got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "a bigint").select(F.pmod(F.xxhash64("a", F.lit(x)), F.lit(2))).collect()]
+        assert similarity_groups._turns(np.array(ids), x).tolist() == got
+
+
 # mails
 
 KG = "array<struct<subject:struct<content:array<string>>,property:struct<content:array<string>>,value:struct<content:array<string>>>>"

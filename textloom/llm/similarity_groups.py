@@ -42,6 +42,8 @@ NEIGHBOURS, REVERSE, TREES, LEAF = 8, 8, 4, 400
 SETTLED, ROUNDS = 0.01, 50
 #: Share of the nodes that may still move where communities count as settled, and rounds after which that must be so.
 STILL, MOST_MOVES, RESOLUTION = 0.001, 400, 1.0
+#: Edges, counted in both directions, that one task holds while their nodes move; more are moved by joins until fewer are left.
+TOGETHER = 2_000_000
 _NODE = "id bigint, class string, same binary, vec binary, scale float"
 
 
@@ -178,6 +180,71 @@ def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, r
     raise RuntimeError(f"neighbour descent isn't settled after {rounds} rounds")
 
 
+def _turns(ids: np.ndarray, x: int) -> np.ndarray:
+    """Lowest bit of Spark's xxhash64(id, x) for identifiers of 64 bits and an x of 32."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(h: np.ndarray, n: int) -> np.ndarray:
+        return (h << np.uint64(n)) | (h >> np.uint64(64 - n))
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    h = mixed(turned((np.full(1, 50, np.uint64) + p5) ^ (turned(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4)
+    h = mixed(turned((h + p5 + np.uint64(4)) ^ (np.full(1, x & 0xFFFFFFFF, np.uint64) * p1), 23) * p2 + p3)
+    return (h & np.uint64(1)).astype(np.int64)
+
+
+def _moved_together(level: int, total: float, resolution: float, still: float, most: int):
+    """A task over all edges (a, b, w) left: the moves and levels of ``communities``; (node, community, null), or (null, level, nodes that still move)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in x.columns] for x in batches]
+        a, b, w = (np.concatenate([x[i] for x in parts]) for i in range(3)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        known = np.unique(a)
+        ids, of_node, a, b = known, np.arange(len(known)), np.searchsorted(known, a), np.searchsorted(known, b)
+        at, moved_any = level, True
+        while moved_any:
+            n = len(ids)
+            k, c, links = np.bincount(a, w, n), np.arange(n), a != b  # numbers of communities are in the order of their identifiers
+            la, lb, lw = a[links], b[links], w[links]
+            move, recent, moved_any = 0, [], False
+            while len(recent) < 2 or sum(recent[-2:]) > still * n:
+                if move >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([at]), pa.array([sum(recent[-2:])])], ["node", "community", "moving"])
+                    return
+                tot = np.bincount(c, k, n)
+                here = (_turns(ids, move // 2 + 1000 * at) == move % 2)[la]
+                key, row = np.unique(la[here] * n + c[lb[here]], return_inverse=True)
+                inside = np.bincount(row, lw[here], len(key))
+                node, to = np.divmod(key, max(n, 1))
+                own = c[node] == to
+                gain = inside - resolution * k[node] * (tot[to] - np.where(own, k[node], 0.0)) / max(total, 1e-9)
+                stay = -resolution * k * (tot[c] - k) / max(total, 1e-9)
+                stay[node[own]] = gain[own]
+                order = np.lexsort((to, -gain, node))
+                first = order[np.r_[True, node[order][1:] != node[order][:-1]]] if len(order) else order
+                first = first[gain[first] > stay[node[first]] + 1e-9]
+                c[node[first]] = to[first]
+                recent.append(len(first))
+                moved_any |= len(first) > 0
+                move += 1
+            if moved_any:
+                left, c = np.unique(c, return_inverse=True)
+                ids, of_node = ids[left], c[of_node]
+                key, row = np.unique(c[a] * len(left) + c[b], return_inverse=True)
+                w = np.bincount(row, w, len(key))
+                a, b = np.divmod(key, max(len(left), 1))
+            at += 1
+        for s in range(0, len(known), 50_000):
+            nodes = known[s : s + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(ids[of_node[s : s + 50_000]]), pa.nulls(len(nodes), pa.int64())], ["node", "community", "moving"])
+
+    return run
+
+
 def communities(edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
     """(node, community) by modularity; edges (a, b, w) in both directions, each once, w > 0.  Raises if the moves don't settle."""
     edges = materialize(edges, "weights")
@@ -185,6 +252,16 @@ def communities(edges: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
     of_node = materialize(edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community")), "communities")
     level, moved_any = 0, True
     while moved_any:
+        if edges.count() <= TOGETHER:
+            ended = materialize(edges.select("a", "b", "w").coalesce(1).mapInArrow(_moved_together(level, total, resolution, STILL, MOST_MOVES), "node bigint, community bigint, moving bigint"), "moves")
+            if failed := ended.where("node is null").first():
+                raise RuntimeError(f"communities of level {failed['community']} don't settle: {failed['moving']} nodes still move")
+            discard(edges)
+            if level == 0:
+                discard(of_node)
+                return ended.select("node", "community")
+            there = ended.select(F.col("node").alias("community"), F.col("community").alias("c"))
+            return of_node.join(there, "community").select("node", F.col("c").alias("community"))
         degree = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
         where = materialize(degree.select("node", F.col("node").alias("c"), "k", F.lit(0).alias("moved")), "moves")
         nodes = where.count()
