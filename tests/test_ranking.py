@@ -51,6 +51,39 @@ def test_evaluation_shuffles_no_pairs_and_equals_sql(spark, tables, name):
     assert all(math.isclose(a, b, abs_tol=1.1e-6) for k in want for a, b in zip(got[k], want[k], strict=True))
 
 
+#: Queries held to what repeated queries cost.
+REPEATED = ["ir_ndcg"]
+TIMES = 30
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tables, tmp_path_factory):
+    """Every query of ``tables`` under further identifiers; some of them differ in the relevance, the words or their order, one has none."""
+    folder = str(tmp_path_factory.mktemp("repeated"))
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    asked = spark.read.parquet(f"{tables}/eval_queries.parquet").collect()
+    rows = [(r.qid + 1000 * t, r.query, r.description, r.relevance) for t in range(TIMES) for r in asked]
+    rows += [(50_001, "dog the", "the fox", 1), (50_002, "the dog", "the fox", None), (50_003, "the dog", "the fox", 2), (50_003, "the dog", None, 0), (None, "the fox", "the dog", 1)]
+    spark.createDataFrame(rows, "qid bigint, query string, description string, relevance int").coalesce(1).write.parquet(f"{folder}/eval_queries.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", REPEATED)
+def test_repeated_queries_are_scored_once_and_equal_sql(spark, repeated, name):
+    before = shuffled(spark)
+    rows = [tuple(r) for r in catalog.queries()[name](spark, repeated).collect()]
+    assert shuffled(spark) - before < N_DOCS * N_QUERIES
+    n = 1 + (name != "ir_overall")
+    with duckdb.connect() as con:
+        for t in ("documents", "eval_queries"):
+            con.sql(f"create view {t} as select * from read_parquet('{repeated}/{t}.parquet/*.parquet')")
+        want = {r[:n]: r[n:] for r in con.sql(catalog.oracle_sql()[name]).fetchall()}
+    got = {r[:n]: r[n:] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(math.isclose(a, b, abs_tol=1.1e-6) for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
 def test_best_is_the_head_of_all_matches(spark, monkeypatch):
     """Also in blocks of few documents, in several passes over the queries, and for identifiers that are strings."""
     rng = random.Random(2)

@@ -162,18 +162,41 @@ def _pass(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame, sizes:
     return out
 
 
+def passes(docs: DataFrame, id_col: str, text_col: str, asked: list[tuple[DataFrame, int]], k1: float = K1, b: float = B) -> Iterator[DataFrame]:
+    """Tables (list, qid, rank, doc_id, score) of all queries of ``asked``, each query in one of them; made when they are asked for, the caller's to discard."""
+    rows = None
+    for i, (terms, _) in enumerate(asked):
+        own = terms.select(F.lit(i).alias("list"), "qid", "term", "boost")
+        rows = own if rows is None else rows.unionByName(own)
+    n = max(1, -(-rows.count() // QUERY_ROWS))
+    for p in range(n):
+        yield _pass(docs, id_col, text_col, rows.where(F.pmod(F.hash("qid"), F.lit(n)) == p), [size for _, size in asked], k1, b)
+
+
+def lists(found: DataFrame, n: int) -> list[DataFrame]:
+    """(qid, rank, doc_id, score) of each of the ``n`` lists."""
+    return [found.where(F.col("list") == i).select("qid", "rank", "doc_id", "score") for i in range(n)]
+
+
 def best(docs: DataFrame, id_col: str, text_col: str, asked: list[tuple[DataFrame, int]], k1: float = K1, b: float = B) -> list[DataFrame]:
     """For each (terms, size) of ``asked`` the first ``size`` ranks of every query by BM25: (qid, rank, doc_id, score).
 
     terms: (qid, term, boost).  The documents are cut into words once for all lists.
     """
-    rows = None
-    for i, (terms, _) in enumerate(asked):
-        own = terms.select(F.lit(i).alias("list"), "qid", "term", "boost")
-        rows = own if rows is None else rows.unionByName(own)
-    passes = max(1, -(-rows.count() // QUERY_ROWS))
     out = None
-    for p in range(passes):
-        found = _pass(docs, id_col, text_col, rows.where(F.pmod(F.hash("qid"), F.lit(passes)) == p), [size for _, size in asked], k1, b)
+    for found in passes(docs, id_col, text_col, asked, k1, b):
         out = found if out is None else out.unionByName(found)
-    return [out.where(F.col("list") == i).select("qid", "rank", "doc_id", "score") for i in range(len(asked))]
+    return lists(out, len(asked))
+
+
+def asked_once(queries: DataFrame, *terms: DataFrame) -> DataFrame:
+    """(qid, asked), materialized: the smallest identifier of the queries that have the same terms in each of ``terms`` and the same other columns.
+
+    queries: (qid, ...), one row each; terms: (qid, term, boost).  Queries without identifier are in no row.
+    """
+    for i, t in enumerate(terms):
+        bag = t.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "boost"))).alias(f"bag{i}"))  # no longer than a query
+        queries = queries.join(bag, "qid", "left")
+    known = queries.where("qid is not null")
+    told = Window.partitionBy(*[c for c in known.columns if c != "qid"])
+    return materialize(known.withColumn("asked", F.min("qid").over(told)).select("qid", "asked"), "asked")
