@@ -52,7 +52,7 @@ def test_evaluation_shuffles_no_pairs_and_equals_sql(spark, tables, name):
 
 
 #: Queries held to what repeated queries cost.
-REPEATED = ["ir_ndcg"]
+REPEATED = ["ir_ndcg", "ir_precision"]
 TIMES = 30
 
 
@@ -64,7 +64,7 @@ def repeated(spark, tables, tmp_path_factory):
     docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
     asked = spark.read.parquet(f"{tables}/eval_queries.parquet").collect()
     rows = [(r.qid + 1000 * t, r.query, r.description, r.relevance) for t in range(TIMES) for r in asked]
-    rows += [(50_001, "dog the", "the fox", 1), (50_002, "the dog", "the fox", None), (50_003, "the dog", "the fox", 2), (50_003, "the dog", None, 0), (None, "the fox", "the dog", 1)]
+    rows += [(50_001, "dog the", "the fox", 1), (50_002, "the dog", "the fox", None), (50_003, "the dog", "the fox", 2), (50_004, "the dog", None, 0), (None, "the fox", "the dog", 1)]
     spark.createDataFrame(rows, "qid bigint, query string, description string, relevance int").coalesce(1).write.parquet(f"{folder}/eval_queries.parquet")
     return folder
 
