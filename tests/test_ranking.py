@@ -97,6 +97,22 @@ def test_best_is_the_head_of_all_matches(spark, monkeypatch):
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_repeated_identifiers_shuffle_no_other_documents(spark, tmp_path):
+    """With tables above the threshold of broadcasts: documents are shuffled for the count of identifiers alone."""
+    rows = [(i, i % 7 + 1, [i % 5, 9], [1, 2]) for i in range(N_DOCS)] + [(3, 4, [3, 8], [1, 5]), (None, 2, [1], [1]), (None, 3, [1, 2], [2, 1])]
+    spark.createDataFrame(rows, "doc_id bigint, dl bigint, codes array<int>, tfs array<int>").repartition(2).write.parquet(f"{tmp_path}/coded")
+    coded, kept = spark.read.parquet(f"{tmp_path}/coded"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = {r.doc_id: (sorted(r.lens), dict(zip(r.codes, r.tfs, strict=True))) for r in K._by_document(coded).collect()}
+        assert shuffled(spark) - before < 2 * N_DOCS
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = {i: ([i % 7 + 1], {i % 5: 1, 9: 2}) for i in range(N_DOCS)} | {3: ([4, 4], {3: 2, 9: 2, 8: 5}), None: ([], {1: 3, 2: 1})}
+    assert got == want
+
+
 def test_best_of_nothing(spark):
     docs, asked = spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), spark.createDataFrame([(1, "a")], "qid bigint, query string")
     for d, q in ((docs.limit(0), asked), (docs, asked.limit(0))):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import discard, materialize
+from ..runtime import broadcast_if_small, discard, materialize
 from .retrieval import K1, B
 
 #: Rows (qid, term) of the query side that one pass over the documents holds; more take further passes.
@@ -127,18 +127,19 @@ def _scorer(side, sizes: list[int], idf: np.ndarray, avgdl: float, k1: float, b:
 
 def _by_document(coded: DataFrame) -> DataFrame:
     """(doc_id, lens, codes, tfs): one row for each identifier; ``coded`` is given up where some are repeated."""
-    repeated = coded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    repeated = materialize(coded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated")
     single = coded.select("doc_id", F.array("dl").alias("lens"), "codes", "tfs")
     if repeated.isEmpty():
+        discard(repeated)
         return single
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
-    rows = coded.join(repeated, same, "left_semi")
+    same, known = F.col("doc_id").eqNullSafe(F.col("again")), broadcast_if_small(repeated)  # a shuffled join would move all documents, twice
+    rows = coded.join(known, same, "left_semi")
     lens = rows.groupBy(F.col("doc_id").alias("again")).agg(F.collect_list(F.when(F.col("doc_id").isNotNull(), F.col("dl"))).alias("lens"))
     each = rows.select("doc_id", F.explode(F.arrays_zip("codes", "tfs")).alias("x")).groupBy("doc_id", F.col("x.codes").alias("code")).agg(F.sum("x.tfs").cast("int").alias("tf"))
     lists = each.groupBy("doc_id").agg(F.collect_list(F.struct("code", "tf")).alias("x"))  # no longer than the queries' terms
     whole = lists.join(lens, same).select("doc_id", "lens", F.col("x.code").alias("codes"), F.col("x.tf").alias("tfs"))
-    out = materialize(single.join(repeated, same, "left_anti").unionByName(whole), "coded")
-    discard(coded)
+    out = materialize(single.join(known, same, "left_anti").unionByName(whole), "coded")
+    discard(coded, repeated)
     return out
 
 
